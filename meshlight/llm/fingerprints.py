@@ -5,9 +5,12 @@ to single spaces, trimmed) and hashed by XXH64 four times, each run seeded by
 the one before: 256 bits as 64 hex digits. Null and empty texts are one text.
 
 Grouping: rows of one digest are one group if their canonical texts are equal
-byte by byte. Texts are compared only where a digest occurs more than once,
-each with the first of its (digest, salt) part, and the firsts of parts with
-the first of the digest; equal digests of unequal texts are told apart.
+byte by byte. Texts are compared only where a digest occurs more than once:
+a table of the leading 20 bits of such digests, at most 2^20 rows by its
+making, is broadcast to keep most others from moving, whatever is left meets
+on (digest, canonical text), combined map-side, so that a large group of
+copies sends one text from each task. Equal digests of unequal texts, should
+they occur, are told apart by their texts.
 
 The edited texts need each document's successor by doc_id. Rows are dealt to
 ranges of doc_id and each range gets a copy of the first row of the next, so
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, doc_text
 
-ROWS, MOST_RANGES, SALTS = 1000, 4096, 32
+ROWS, MOST_RANGES, LEADING_BITS = 1000, 4096, 20
 
 
 def canonical(text: Column) -> Column:
@@ -48,7 +51,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_successor(docs: DataFrame, rows: int = ROWS) -> DataFrame:
-    """doc_id, text, following: the text of the next row by (doc_id, text); after the last, the first's."""
+    """doc_id, text, fingerprint, and following, next_fingerprint of the next row by (doc_id, text); after the last, of the first."""
     ids = docs.select("doc_id")
     total = ids.count()
     ranges = max(1, min(MOST_RANGES, total // rows))
@@ -67,9 +70,10 @@ def with_successor(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     is_first = F.col("doc_id").isin(firsts) if firsts else F.lit(False)
     copies = F.when(is_first, F.array(F.struct(F.col("_i").alias("r"), F.lit(0).alias("copy")), F.struct(F.pmod(F.col("_i") - 1, F.lit(n)).alias("r"), F.lit(1).alias("copy"))))
     copies = copies.otherwise(F.array(F.struct(F.col("_i").alias("r"), F.lit(0).alias("copy"))))
-    spread = dealt.select("doc_id", "text", F.inline(copies))
+    spread = dealt.withColumn("fingerprint", fingerprint(F.col("text"))).select("doc_id", "text", "fingerprint", F.inline(copies))
     order = Window.partitionBy("r").orderBy("copy", "doc_id", "text")
-    return spread.withColumn("following", F.lead("text").over(order)).filter("copy = 0").select("doc_id", "text", "following")
+    after = spread.withColumn("following", F.lead("text").over(order)).withColumn("next_fingerprint", F.lead("fingerprint").over(order))
+    return after.filter("copy = 0").drop("r", "copy")
 
 
 def fingerprint_edits(docs: DataFrame, rows: int = ROWS) -> DataFrame:
@@ -80,35 +84,49 @@ def fingerprint_edits(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     d = with_successor(docs, rows)
     n, k = F.length("text"), F.floor(F.length("text") / 4).cast("int")
     d = d.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - k), F.substring("following", F.lit(1), k)))
-    d = d.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *(fingerprint(F.col(c)).alias(to) for c, to in (("text", "fingerprint"), ("edited", "edited_fingerprint"), ("following", "_next"))))
-    return d.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("_next")).alias("near_next"))
+    d = d.withColumn("edited_fingerprint", fingerprint(F.col("edited")))
+    near = {"near_edited": "edited_fingerprint", "near_next": "next_fingerprint"}
+    return d.select(
+        "doc_id",
+        n.cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        *(likeness(F.col("fingerprint"), F.col(other)).alias(name) for name, other in near.items()),
+    )
 
 
-def exact_groups(docs: DataFrame, prints: DataFrame | None = None, salts: int = SALTS) -> DataFrame:
+def leading(print_: Column, bits: int = LEADING_BITS) -> Column:
+    return F.shiftright(F.conv(F.substring(print_, 1, 8), 16, 10).cast("long"), 32 - bits)
+
+
+def _moved(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint, canon) of rows with one of these fingerprints and of few others."""
+    canon = docs.select("doc_id", canonical(doc_text()).alias("canon")).withColumn("fingerprint", digest(F.col("canon")))
+    few = prints.select(leading(F.col("fingerprint")).alias("lead")).distinct()
+    return canon.withColumn("lead", leading(F.col("fingerprint"))).join(F.broadcast(few), "lead", "left_semi").drop("lead")
+
+
+def exact_groups(docs: DataFrame, prints: DataFrame | None = None) -> DataFrame:
     """Per (doc_id, fingerprint): group_id (lowest doc_id with the same canonical text) and copies.
 
     ``prints`` may hold (doc_id, fingerprint) if they are known already.
     """
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt")
-    prints = docs.select("doc_id", fingerprint(doc_text()).alias("fingerprint")) if prints is None else prints
-    light = prints.select("doc_id", "fingerprint", salt)
-    part = light.groupBy("fingerprint", "salt").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
-    whole = part.groupBy("fingerprint").agg(F.sum("n").alias("copies"), F.min("first").alias("group_id"), F.collect_list("salt").alias("own"))
+    prints = docs.select("doc_id", fingerprint(doc_text()).alias("fingerprint")) if prints is None else prints.select("doc_id", "fingerprint")
+    whole = cut(prints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("group_id")))
     single = whole.filter("copies = 1").select(F.col("group_id").alias("doc_id"), "fingerprint", "group_id", "copies")
-    many = whole.filter("copies > 1").select("fingerprint", F.explode("own").alias("salt"))
-    canon = docs.select("doc_id", canonical(doc_text()).alias("canon"), salt).withColumn("fingerprint", digest(F.col("canon")))
-    canon = canon.join(many.hint("shuffle_hash"), ["fingerprint", "salt"], "left_semi")
-    # equal digests are compared as bytes: one row for each different text of a part, then of all parts
-    texts = canon.groupBy("fingerprint", "salt", "canon").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
-    # where a digest has one text in all, its rows need no text any more; parts are few rows by now
-    one = texts.groupBy("fingerprint").agg(F.min("canon").alias("low"), F.max("canon").alias("high"), F.sum("n").alias("copies"), F.min("first").alias("group_id"))
-    pure = one.filter("low = high").select("fingerprint", "copies", "group_id")
-    mixed = one.filter("low <> high").select("fingerprint")
-    of_pure = light.join(pure, "fingerprint").select("doc_id", "fingerprint", "group_id", "copies")
-    apart = canon.join(mixed, "fingerprint", "left_semi")
+    many = whole.filter("copies > 1").select("fingerprint")
+    texts = _moved(docs, many).groupBy("fingerprint", "canon").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+    judged = cut(texts.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("copies"), F.min("first").alias("group_id")).filter("copies > 1"))
+    pure = judged.filter("texts = 1").select("fingerprint", "group_id", "copies")
+    of_pure = prints.join(pure, "fingerprint").select("doc_id", "fingerprint", "group_id", "copies").distinct()
+    found = single.unionByName(of_pure)
+    mixed = judged.filter("texts > 1").select("fingerprint")
+    if mixed.isEmpty():
+        return found
+    apart = _moved(docs, mixed).join(mixed, "fingerprint", "left_semi")
     named = apart.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("copies"))
-    of_mixed = apart.join(named, ["fingerprint", "canon"]).select("doc_id", "fingerprint", "group_id", "copies")
-    return single.unionByName(of_pure).unionByName(of_mixed).distinct()
+    return found.unionByName(apart.join(named, ["fingerprint", "canon"]).select("doc_id", "fingerprint", "group_id", "copies").distinct())
 
 
 def fingerprint_documents(docs: DataFrame, rows: int = ROWS) -> DataFrame:
