@@ -93,29 +93,34 @@ def banded(item: bytes, region: bytes, low: int, high: int, most: int) -> tuple[
     end i + low + d. Ends before the item's end cost nothing.
     """
     far, width = most + 1, high - low + 1
-    r = np.frombuffer(region, np.uint8)
+    before = max(0, -low) + 1
+    region_codes = np.frombuffer(region, np.uint8)
+    padded = np.concatenate([np.zeros(before, np.uint8), region_codes, np.zeros(max(0, high) + len(item) + 1, np.uint8)])
     d = np.arange(width)
-    ends = low + d
-    row = np.where((ends >= 0) & (ends <= len(r)), 0, far).astype(np.int32)
-    start = ends.astype(np.int64)
-    padded = np.concatenate([np.zeros(max(0, -low) + 1, np.uint8), r, np.zeros(max(0, high) + len(item) + 1, np.uint8)])
-    shift = max(0, -low) + 1
+    row = np.where((low + d >= 0) & (low + d <= len(region)), 0, far).astype(np.int32)
+    start = (low + d).astype(np.int64)
+    skip, skipped = np.full(width, far, np.int32), np.zeros(width, np.int64)
     for i, c in enumerate(item, 1):
-        ends = i + low + d
-        inside = (ends >= 0) & (ends <= len(r))
-        read = padded[shift + ends[0] - 1 : shift + ends[0] - 1 + width]
-        step = row + ((read != c) | (ends < 1))
-        skip = np.append(row[1:] + 1, far)  # the item's byte is missing in the region
+        first = i + low  # the region end of column 0
+        a, b = max(0, -first), min(width, len(region) - first + 1)  # columns whose region end exists
+        if a >= b:
+            return None
+        read = padded[before + first - 1 : before + first - 1 + width]
+        step = row + (read != c)
+        if first <= 0:
+            step[: 1 - first] = far  # before the region's first byte there is none to match
+        skip[:-1], skipped[:-1] = row[1:] + 1, start[1:]  # the item's byte is missing in the region
         best = np.minimum(step, skip)
-        origin = np.where(skip < step, np.append(start[1:], 0), start)
-        best = np.where(inside, best, far)
+        origin = np.where(skip < step, skipped, start)
+        best[:a], best[b:] = far, far
         # a byte of the region that the item lacks: a running minimum along the row
         run = best - d
         low_run = np.minimum.accumulate(run)
-        from_left = low_run + d
-        where = np.maximum.accumulate(np.where(run == low_run, d, 0))
-        origin = np.where(from_left < best, origin[where], origin)
-        row = np.minimum(np.where(inside, np.minimum(best, from_left), far), far)
+        if (low_run < run).any():
+            where = np.maximum.accumulate(np.where(run == low_run, d, 0))
+            best, origin = low_run + d, origin[where]
+            best[b:] = far
+        row = np.minimum(best, far).astype(np.int32)
         start = origin
         if row.min() >= far:
             return None
@@ -130,25 +135,26 @@ def leaks_in(index: ItemIndex, data: bytes, borders: np.ndarray) -> list[tuple[i
     if not len(at):
         return []
     # a document and item with too few hits in all need no bands
-    pair = doc * len(index.ids) + item
-    _, inverse, n = np.unique(pair, return_inverse=True, return_counts=True)
-    enough = n[inverse] >= index.need[item]
+    pairs, pair, n = np.unique(doc * len(index.ids) + item, return_inverse=True, return_counts=True)
+    enough = n[pair] >= index.need[item]
     at, item, pos, doc, pair = at[enough], item[enough], pos[enough], doc[enough], pair[enough]
     if not len(at):
         return []
     step = index.edits[item] + 1
-    diagonal = at - borders[doc] - pos
-    upper = np.floor_divide(diagonal, step)
-    bands = np.concatenate([upper, upper - 1])  # band b covers diagonals from b * step on, over two steps
-    key = np.stack([np.concatenate([doc, doc]), np.concatenate([item, item]), bands])
-    order = np.lexsort(key[::-1])
-    key = key[:, order]
-    first = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0).any(axis=0)]))
-    count = np.diff(np.concatenate([first, [key.shape[1]]]))
-    full = count >= index.need[key[1, first]]
+    upper = np.floor_divide(at - borders[doc] - pos, step)
+    # band b covers diagonals from b * step on, over two steps; a q-gram of the item counts once in a band
+    bands, band = np.unique(np.concatenate([upper, upper - 1]), return_inverse=True)
+    width, longest = len(bands), int(pos.max()) + 1
+    once = np.sort((np.concatenate([pair, pair]) * width + band) * longest + np.concatenate([pos, pos]))
+    once = once[np.concatenate([[True], np.diff(once) != 0])] // longest
+    first = np.flatnonzero(np.concatenate([[True], np.diff(once) != 0]))
+    key, count = once[first], np.diff(np.append(first, len(once)))
+    own = pairs[key // width] % len(index.ids)
+    full = count >= index.need[own]
+    key, count, own = key[full], count[full], own[full]
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
     # the band with the most hits first; an exact match ends the search for its item
-    todo = sorted(zip(*key[:, first[full]].tolist(), (-count[full]).tolist()), key=lambda x: (x[0], x[1], x[3]))
+    todo = sorted(zip((pairs[key // width] // len(index.ids)).tolist(), own.tolist(), bands[key % width].tolist(), (-count).tolist()), key=lambda x: (x[0], x[1], x[3]))
     for d, i, b, _ in todo:
         if (d, i) in found and found[d, i][0] == 0:
             continue
