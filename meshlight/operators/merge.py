@@ -169,3 +169,18 @@ def merge_overlapping(graph: Graph, result: OverlappingResult, options: MergeOpt
     moved = members.sparkSession.createDataFrame([(c, _last(into, c)) for c in into], "community long, _to long")
     merged = members.join(moved, "community", "left").select("node", F.coalesce("_to", "community").alias("community")).distinct()
     return OverlappingResult(normalize(merged))
+
+
+def first_targets(graph: Graph, partition: DataFrame, threshold: int, strategy: str = "connectivity", resolution: float = 1.0) -> DataFrame:
+    """(community, target): what each small community would join if it were the first to merge; those without an edge outside are left out."""
+    links = contract(graph.merged, partition).filter("src <> dst")
+    both = links.select(F.col("src").alias("community"), F.col("dst").alias("target"), "weight").unionByName(links.select(F.col("dst").alias("community"), F.col("src").alias("target"), "weight"))
+    own = both.join(candidates(partition, threshold).select("community"), "community", "left_semi")
+    if strategy == "connectivity":
+        gain = F.col("weight")
+    else:
+        s = graph.community_strength(partition)
+        own = own.join(s.select("community", F.col("strength").alias("s")), "community").join(s.select(F.col("community").alias("target"), F.col("strength").alias("t")), "target").crossJoin(graph.total_weight())
+        gain = 2 * F.col("weight") / F.col("total_weight") - 2 * F.lit(resolution) * F.col("s") * F.col("t") / (F.col("total_weight") * F.col("total_weight"))
+    best = own.groupBy("community").agg(F.max(F.struct(gain.alias("gain"), (-F.col("target")).alias("low"))).alias("b"))
+    return best.select("community", (-F.col("b.low")).alias("target"))

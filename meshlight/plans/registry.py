@@ -1,15 +1,523 @@
-"""The named queries of the graph operators and their SQL."""
+"""The named queries of the graph operators and their SQL.
+
+The graphs come from the orders: parts that stand in one order ("p"), in at
+least two orders ("s"), and suppliers ("u"). Weights are whole numbers, so
+sums agree between engines; quotients are rounded to 9 places.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meshlight.functions import metrics
+from meshlight.operators import detect, ego, kernel, merge, partition
+from meshlight.operators.graph import Graph, build
+from meshlight.operators.registry import NodeRegistry
+from meshlight.runtime import cut, table
+from meshlight.sources.builders import co_occurrence, part_graph, supplier_graph
+from meshlight.streaming import online
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+NODES = 60  # nodes of the small covers that omega compares
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def pairs_sql(item: str, least: int) -> str:
+    return f"""SELECT a.i AS src, b.i AS dst, CAST(count(*) AS DOUBLE) AS weight
+  FROM (SELECT DISTINCT l_orderkey AS g, {item} AS i FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey AS g, {item} AS i FROM lineitem) b ON a.g = b.g AND a.i < b.i
+  GROUP BY 1, 2 HAVING count(*) >= {least}"""
+
+
+def graph_sql(rest: str, item: str = "l_partkey", least: int = 1, vertices: str = "SELECT DISTINCT p_partkey AS id FROM part", recursive: bool = False) -> str:
+    """CTEs e (edges), adj (both ways), v (vertices), k (strengths), m (total weight), p (a partition), q (one with gaps), then the rest."""
+    return f"""WITH {"RECURSIVE " if recursive else ""}e AS ({pairs_sql(item, least)}),
+v AS (SELECT id FROM ({vertices}) UNION SELECT src FROM e UNION SELECT dst FROM e),
+adj AS (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e),
+k AS (SELECT v.id AS node, coalesce(sum(weight), 0.0) AS k FROM v LEFT JOIN adj ON v.id = adj.src GROUP BY 1),
+m AS (SELECT coalesce(sum(weight), 0.0) AS m FROM e),
+p AS (SELECT id AS node, CAST(id % 13 AS BIGINT) AS community FROM v),
+q AS (SELECT id AS node, CAST(id % 13 AS BIGINT) AS community FROM v WHERE id % 5 <> 0)
+{rest}"""
+
+
+def modulo_partition(g: Graph, gaps: bool = False) -> DataFrame:
+    v = g.vertices.filter("id % 5 <> 0") if gaps else g.vertices
+    return v.select(F.col("id").alias("node"), (F.col("id") % 13).cast("long").alias("community"))
+
+
+def chosen(g: Graph) -> DataFrame:
+    return g.vertices.filter("id % 3 = 0").select("id")
+
+
+# --- the graph itself
+
+
+@query("WITH v AS (SELECT DISTINCT p_partkey AS id FROM part) SELECT id, 1.0::DOUBLE AS weight FROM v UNION SELECT DISTINCT l_partkey, 1.0::DOUBLE FROM lineitem WHERE l_partkey NOT IN (SELECT id FROM v)")
+def graph_nodes(spark, d):
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("id"))
+    items = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_partkey").alias("dst"))
+    return build(items.distinct(), parts).nodes().withColumn("weight", F.lit(1.0))
+
+
+@query(graph_sql("SELECT * FROM e"))
+def graph_edges_canonical(spark, d):
+    return part_graph(spark, d).merged
+
+
+@query(graph_sql("SELECT * FROM adj"))
+def graph_adjacency(spark, d):
+    return part_graph(spark, d).adjacency
+
+
+@query(graph_sql("SELECT count(*) AS node_count FROM v"))
+def node_count(spark, d):
+    return part_graph(spark, d).node_count()
+
+
+@query(graph_sql("SELECT count(*) AS edge_count FROM e"))
+def edge_count(spark, d):
+    return part_graph(spark, d).edge_count()
+
+
+@query(graph_sql("SELECT m AS total_weight FROM m"))
+def total_weight(spark, d):
+    return part_graph(spark, d).total_weight()
+
+
+@query(graph_sql("SELECT node AS id, k AS strength FROM k"))
+def strength(spark, d):
+    return part_graph(spark, d).strength()
+
+
+@query(graph_sql('SELECT dst AS "to", weight FROM adj WHERE src = 7'))
+def neighbors(spark, d):
+    return part_graph(spark, d).neighbors(7)
+
+
+@query(graph_sql("SELECT community, sum(k) AS strength FROM p JOIN k USING (node) GROUP BY 1"))
+def comm_strength(spark, d):
+    g = part_graph(spark, d)
+    return g.community_strength(modulo_partition(g))
+
+
+@query(graph_sql("SELECT src AS node, community, sum(weight) AS weight FROM adj JOIN q ON q.node = adj.dst GROUP BY 1, 2"))
+def weight_to_comm(spark, d):
+    g = part_graph(spark, d)
+    return g.weight_to_communities(modulo_partition(g, gaps=True))
+
+
+@query(graph_sql("SELECT src, dst, weight FROM e WHERE src % 3 = 0 AND dst % 3 = 0"))
+def subgraph(spark, d):
+    g = part_graph(spark, d)
+    return g.subgraph(chosen(g)).merged
+
+
+@query(graph_sql("SELECT src, dst, weight FROM e WHERE src % 3 <> 0 AND dst % 3 <> 0"))
+def remove_edges_for(spark, d):
+    g = part_graph(spark, d)
+    return g.remove_edges_for(chosen(g)).merged
+
+
+@query("SELECT s_name AS name, row_number() OVER (ORDER BY s_name) - 1 AS id FROM (SELECT DISTINCT s_name FROM supplier)")
+def registry_ids(spark, d):
+    return NodeRegistry.new(spark).register(table(spark, d, "supplier").select(F.col("s_name").alias("name"))).entries
+
+
+# --- metrics
+
+
+def modularity_sql(part: str, resolution: float) -> str:
+    return graph_sql(f"""SELECT round(sum(intra) / (2 * max(m)) - {resolution} * sum(degree * degree) / (4 * max(m) * max(m)), 9) AS modularity
+FROM (SELECT coalesce(a.community, -1) AS c, sum(weight) AS degree, sum(CASE WHEN coalesce(a.community, -1) = coalesce(b.community, -1) THEN weight ELSE 0 END) AS intra
+      FROM adj LEFT JOIN {part} a ON a.node = adj.src LEFT JOIN {part} b ON b.node = adj.dst GROUP BY 1), m""")
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, 9).alias(c) for c in df.columns))
+
+
+@query(modularity_sql("p", 1.0))
+def modularity(spark, d):
+    g = part_graph(spark, d)
+    return rounded(metrics.modularity(g, modulo_partition(g)))
+
+
+@query(modularity_sql("p", 0.5))
+def modularity_resolution(spark, d):
+    g = part_graph(spark, d)
+    return rounded(metrics.modularity(g, modulo_partition(g), 0.5))
+
+
+@query(modularity_sql("q", 1.0))
+def modularity_missing_nodes(spark, d):
+    g = part_graph(spark, d)
+    return rounded(metrics.modularity(g, modulo_partition(g, gaps=True)))
+
+
+@query(
+    """WITH a AS (SELECT p_partkey AS node, p_size % 4 AS x, p_partkey % 6 AS y FROM part), t AS (SELECT count(*)::DOUBLE AS t FROM a),
+c AS (SELECT x, y, count(*)::DOUBLE AS n FROM a GROUP BY 1, 2), r AS (SELECT x, sum(n) AS nx FROM c GROUP BY 1), s AS (SELECT y, sum(n) AS ny FROM c GROUP BY 1)
+SELECT round(2 * (SELECT sum(n / t * log2(n * t / (nx * ny))) FROM c JOIN r USING (x) JOIN s USING (y), t)
+ / ((SELECT -sum(nx / t * log2(nx / t)) FROM r, t) + (SELECT -sum(ny / t * log2(ny / t)) FROM s, t)), 9) AS nmi"""
+)
+def nmi(spark, d):
+    part = table(spark, d, "part")
+    of = lambda c: part.select(F.col("p_partkey").alias("node"), c.cast("long").alias("community"))
+    return rounded(metrics.nmi(of(F.col("p_size") % 4), of(F.col("p_partkey") % 6)))
+
+
+def cover(spark, d, a: int, b: int) -> DataFrame:
+    part = table(spark, d, "part").filter(F.col("p_partkey") <= NODES)
+    of = lambda c: part.select(F.col("p_partkey").alias("node"), c.cast("long").alias("community"))
+    return of(F.col("p_partkey") % a).unionByName(of(100 + F.col("p_partkey") % b))
+
+
+@query(
+    f"""WITH n AS (SELECT p_partkey AS node FROM part WHERE p_partkey <= {NODES}),
+pr AS (SELECT (a.node % 4 = b.node % 4)::INT + (a.node % 7 = b.node % 7)::INT AS x, (a.node % 3 = b.node % 3)::INT + (a.node % 8 = b.node % 8)::INT AS y FROM n a JOIN n b ON a.node < b.node),
+o AS (SELECT avg((x = y)::INT::DOUBLE) AS obs, count(*)::DOUBLE AS t FROM pr),
+h AS (SELECT s, sum(fx) AS fx, sum(fy) AS fy FROM (SELECT x AS s, 1.0::DOUBLE AS fx, 0.0::DOUBLE AS fy FROM pr UNION ALL SELECT y, 0.0, 1.0 FROM pr) GROUP BY 1),
+c AS (SELECT sum(fx * fy) / (max(t) * max(t)) AS ex FROM h, o)
+SELECT round(least(1.0, greatest(0.0, (obs - ex) / (1 - ex))), 9) AS omega FROM o, c"""
+)
+def omega_index(spark, d):
+    return rounded(metrics.omega_index(cover(spark, d, 4, 7), cover(spark, d, 3, 8)))
+
+
+@query(
+    f"""WITH n AS (SELECT p_partkey AS node FROM part WHERE p_partkey <= {NODES}), pr AS (SELECT a.node AS u, b.node AS v, CAST((a.node % 4 = b.node % 4)::INT + (a.node % 7 = b.node % 7)::INT AS BIGINT) AS shared FROM n a JOIN n b ON a.node < b.node)
+SELECT * FROM pr WHERE shared > 0"""
+)
+def shared_memberships(spark, d):
+    return metrics.shared_memberships(cover(spark, d, 4, 7))
+
+
+@query(graph_sql("SELECT count(DISTINCT community) AS communities FROM p"))
+def unique_communities(spark, d):
+    return metrics.community_count(modulo_partition(part_graph(spark, d)))
+
+
+# --- partitions and levels
+
+
+@query(graph_sql("SELECT least(a.community, b.community) AS src, greatest(a.community, b.community) AS dst, sum(weight) AS weight FROM e JOIN p a ON a.node = e.src JOIN p b ON b.node = e.dst GROUP BY 1, 2"))
+def contract_supergraph(spark, d):
+    g = part_graph(spark, d)
+    return partition.contract(g.merged, modulo_partition(g))
+
+
+@query(graph_sql("SELECT node, dense_rank() OVER (ORDER BY community * 7 % 13 + 100) - 1 AS community FROM p"))
+def normalize_partition(spark, d):
+    p = modulo_partition(part_graph(spark, d))
+    return partition.normalize(p.withColumn("community", F.col("community") * 7 % 13 + 100))
+
+
+@query(graph_sql("SELECT node, community % 4 AS community FROM p"))
+def compose_partition(spark, d):
+    p = modulo_partition(part_graph(spark, d))
+    outer = p.select(F.col("community").alias("node"), (F.col("community") % 4).alias("community")).distinct()
+    return partition.compose(p, outer)
+
+
+@query(
+    graph_sql(
+        """, b AS (SELECT id AS node, id // 20 AS community FROM v),
+ie AS (SELECT adj.src, adj.dst FROM adj JOIN b x ON x.node = adj.src JOIN b y ON y.node = adj.dst AND x.community = y.community),
+reach AS (SELECT node, node AS root FROM b UNION SELECT ie.dst, reach.root FROM reach JOIN ie ON ie.src = reach.node),
+c AS (SELECT community, b.node, min(root) AS root FROM b JOIN reach ON reach.node = b.node GROUP BY 1, 2)
+SELECT node, dense_rank() OVER (ORDER BY community, root) - 1 AS community FROM c""".lstrip(),
+        least=2,
+        recursive=True,
+    ).replace(")\n, b AS", "),\nb AS")
+)
+def refine_components(spark, d):
+    g = part_graph(spark, d, 2)
+    p = g.vertices.select(F.col("id").alias("node"), F.floor(F.col("id") / 20).alias("community"))
+    return partition.refine(cut(g.merged), p)
+
+
+LEVEL_OPTIONS = kernel.MoveOptions(seed=3, buckets=4)
+
+
+def bucket_sql(node: str, o: kernel.MoveOptions) -> str:
+    return f"((({node} % {kernel.HASH_MOD}) * {kernel.HASH_NODE} + {o.seed * kernel.HASH_SEED}) % {kernel.HASH_MOD} % {o.buckets})"
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def level_sql(tag: str, nodes: str, edges: str, o: kernel.MoveOptions = LEVEL_OPTIONS) -> str:
+    """CTEs of one level's sweep, unrolled by bucket; {tag}done (node, community) numbers its result."""
+    out = f""", {tag}adj AS MATERIALIZED (SELECT src, dst, weight FROM {edges} UNION ALL SELECT dst, src, weight FROM {edges} WHERE src <> dst),
+{tag}k AS MATERIALIZED (SELECT n.node, coalesce(sum(weight), 0.0) AS k FROM {nodes} n LEFT JOIN {tag}adj a ON a.src = n.node GROUP BY 1),
+{tag}m AS MATERIALIZED (SELECT sum(weight) AS m FROM {edges}),
+{tag}p0 AS MATERIALIZED (SELECT node, node AS community FROM {nodes})"""
+    for r in range(o.buckets):
+        p = f"{tag}p{r}"
+        out += f""",
+{tag}o{r} AS MATERIALIZED (SELECT k.node, k, community AS now FROM {tag}k k JOIN {p} USING (node) WHERE k > 0 AND {bucket_sql("k.node", o)} = {r}),
+{tag}i{r} AS MATERIALIZED (SELECT node, community, sum(weight) AS kin FROM (SELECT a.src AS node, x.community, weight FROM {tag}adj a JOIN {p} x ON x.node = a.dst WHERE {bucket_sql("a.src", o)} = {r}
+  UNION ALL SELECT node, now, 0.0 FROM {tag}o{r}) GROUP BY 1, 2),
+{tag}s{r} AS MATERIALIZED (SELECT community, sum(k) AS s FROM {p} JOIN {tag}k USING (node) GROUP BY 1),
+{tag}c{r} AS MATERIALIZED (SELECT node, i.community, now, 4.0 * m * kin - (s - CASE WHEN i.community = now THEN k ELSE 0.0 END) * k AS score
+  FROM {tag}i{r} i JOIN {tag}o{r} USING (node) JOIN {tag}s{r} s ON s.community = i.community, {tag}m),
+{tag}b{r} AS MATERIALIZED (SELECT node, arg_min(community, (-score, community)) AS best, max(score) AS score, max(CASE WHEN community = now THEN score END) AS staying FROM {tag}c{r} GROUP BY 1),
+{tag}p{r + 1} AS MATERIALIZED (SELECT p.node, CASE WHEN b.score > b.staying THEN b.best ELSE p.community END AS community FROM {p} p LEFT JOIN {tag}b{r} b USING (node))"""
+    return out + f""",
+{tag}done AS MATERIALIZED (SELECT node, dense_rank() OVER (ORDER BY community) - 1 AS community FROM {tag}p{o.buckets})"""
+
+
+def one_level(g: Graph) -> DataFrame:
+    start = cut(g.vertices.select(F.col("id").alias("node"), F.col("id").alias("community")))
+    total = g.edges.agg(F.sum("weight")).first()[0] or 0.0
+    return cut(partition.normalize(detect.sweep(g, start, total, LEVEL_OPTIONS)[0]))
+
+
+ONE = graph_sql(", n AS (SELECT id AS node FROM v)" + level_sql("a", "n", "e") + "\nSELECT node, community FROM adone", least=2).replace(")\n, n AS", "),\nn AS")
+TWO = graph_sql(
+    ", n AS (SELECT id AS node FROM v)"
+    + level_sql("a", "n", "e")
+    + """,
+e2 AS MATERIALIZED (SELECT least(x.community, y.community) AS src, greatest(x.community, y.community) AS dst, sum(weight) AS weight FROM e JOIN adone x ON x.node = e.src JOIN adone y ON y.node = e.dst GROUP BY 1, 2),
+n2 AS (SELECT DISTINCT community AS node FROM adone)"""
+    + level_sql("z", "n2", "e2")
+    + "\nSELECT adone.node, zdone.community FROM adone JOIN zdone ON zdone.node = adone.community",
+    least=2,
+).replace(")\n, n AS", "),\nn AS")
+
+
+@query(ONE)
+def louvain_one_level(spark, d):
+    g = part_graph(spark, d, 2)
+    return one_level(Graph(g.vertices, cut(g.merged)))
+
+
+@query(TWO)
+def louvain_two_levels(spark, d):
+    g = part_graph(spark, d, 2)
+    g = Graph(g.vertices, cut(g.merged))
+    first = one_level(g)
+    level = Graph(first.select(F.col("community").alias("id")).distinct().withColumn("weight", F.lit(1.0)), cut(partition.contract(g.merged, first)))
+    return partition.compose(first, one_level(level))
+
+
+@query(
+    graph_sql(
+        """, f AS (SELECT node, min(node) OVER (PARTITION BY community) AS first FROM q UNION ALL SELECT id, id FROM v WHERE id NOT IN (SELECT node FROM q))
+SELECT node, dense_rank() OVER (ORDER BY first) - 1 AS community FROM f"""
+    ).replace(")\n, f AS", "),\nf AS")
+)
+def warm_start_seed(spark, d):
+    g = part_graph(spark, d)
+    return partition.warm_start(g.vertices.select("id"), modulo_partition(g, gaps=True))
+
+
+# --- overlapping communities
+
+
+EGO_SQL = """, mem AS (SELECT src AS ego, dst AS node FROM adj),
+net AS (SELECT a.ego, e.src, e.dst, e.weight FROM e JOIN mem a ON a.node = e.src JOIN mem b ON b.node = e.dst AND a.ego = b.ego)"""
+
+
+def ego_sql(rest: str, more: str = "") -> str:
+    return graph_sql(EGO_SQL + more + "\n" + rest, least=2).replace(")\n, mem AS", "),\nmem AS")
+
+
+@query(ego_sql("SELECT * FROM net"))
+def ego_net_edges(spark, d):
+    return ego.ego_net_edges(part_graph(spark, d, 2))
+
+
+@query(ego_sql("SELECT ego, node, row_number() OVER (PARTITION BY ego ORDER BY node) - 1 AS local_comm FROM mem WHERE ego NOT IN (SELECT ego FROM net)"))
+def ego_singletons(spark, d):
+    g = part_graph(spark, d, 2)
+    bare = cut(ego.ego_members(g).select("ego").distinct().join(ego.ego_net_edges(g).select("ego").distinct(), "ego", "left_anti"))
+    return ego.ego_partition(g, detect.Louvain(detect.LouvainOptions(seed=1)), bare)
+
+
+def split_egos(g: Graph) -> DataFrame:
+    """A stand-in for a local detector that SQL can follow: neighbours by parity of their id."""
+    return ego.ego_members(g).withColumn("local_comm", F.col("node") % 2)
+
+
+SPLIT = """, eg AS (SELECT ego, node, node % 2 AS local_comm FROM mem),
+pe AS (SELECT node, local_comm, (SELECT max(id) FROM v) + dense_rank() OVER (ORDER BY node, local_comm) AS persona_id
+  FROM (SELECT DISTINCT v.id AS node, coalesce(eg.local_comm, 0) AS local_comm FROM v LEFT JOIN eg ON eg.ego = v.id))"""
+
+
+@query(ego_sql("SELECT node, local_comm, persona_id FROM pe", SPLIT))
+def persona_assign(spark, d):
+    g = part_graph(spark, d, 2)
+    return ego.personas(g.vertices.select(F.col("id").alias("node")), split_egos(g))
+
+
+@query(ego_sql("SELECT least(a.persona_id, b.persona_id) AS src, greatest(a.persona_id, b.persona_id) AS dst, sum(weight) AS weight FROM e JOIN pe a ON a.node = e.src AND a.local_comm = e.dst % 2 JOIN pe b ON b.node = e.dst AND b.local_comm = e.src % 2 GROUP BY 1, 2", SPLIT))
+def persona_edges(spark, d):
+    g = part_graph(spark, d, 2)
+    egos = split_egos(g)
+    return ego.persona_edges(g, ego.personas(g.vertices.select(F.col("id").alias("node")), egos), egos)
+
+
+@query(ego_sql("SELECT node, dense_rank() OVER (ORDER BY c) - 1 AS community FROM (SELECT DISTINCT node, persona_id % 17 * 3 AS c FROM pe)", SPLIT))
+def overlapping_compact(spark, d):
+    g = part_graph(spark, d, 2)
+    people = ego.personas(g.vertices.select(F.col("id").alias("node")), split_egos(g))
+    return ego.memberships(people, people.select("persona_id", (F.col("persona_id") % 17 * 3).alias("community")))
+
+
+@query(
+    ego_sql(
+        """SELECT persona_id AS node, had[i % len(had) + 1] AS community FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY local_comm) - 1 AS i FROM pe) JOIN pr USING (node)""",
+        SPLIT + ", pr AS (SELECT node, list_sort([node % 4, 10 + node % 3]) AS had FROM v, (SELECT 1) AS one(x), LATERAL (SELECT v.id AS node) WHERE v.id % 2 = 0)",
+    )
+)
+def prior_projection(spark, d):
+    g = part_graph(spark, d, 2)
+    people = ego.personas(g.vertices.select(F.col("id").alias("node")), split_egos(g))
+    even = g.vertices.filter("id % 2 = 0")
+    prior = even.select(F.col("id").alias("node"), F.explode(F.array(F.col("id") % 4, 10 + F.col("id") % 3)).alias("community"))
+    return online.project_prior(people, prior)
+
+
+@query(graph_sql("SELECT id AS ego FROM v WHERE id IN (11, 23, 42) UNION SELECT dst FROM adj WHERE src IN (11, 23)", least=2))
+def affected_nodes(spark, d):
+    g = part_graph(spark, d, 2)
+    delta = online.GraphDelta(spark.createDataFrame([(42,)], "id long"), spark.createDataFrame([(11, 23, 1.0)], "src long, dst long, weight double"))
+    return online.affected_nodes(g, delta)
+
+
+# --- merging
+
+
+SMALL = """, b AS (SELECT id AS node, CAST(CASE WHEN id % 10 = 0 THEN 1000 + id % 40 ELSE id % 5 END AS BIGINT) AS community FROM v),
+sz AS (SELECT community, count(*) AS size FROM b GROUP BY 1), th AS (SELECT CAST(ceil(0.1 * (SELECT count(*) FROM v)) AS BIGINT) AS t),
+cand AS (SELECT community, size FROM sz, th WHERE size < t),
+ln AS (SELECT x.community, y.community AS target, sum(weight) AS weight FROM adj JOIN b x ON x.node = adj.src JOIN b y ON y.node = adj.dst AND y.community <> x.community GROUP BY 1, 2),
+st AS (SELECT community, sum(k) AS s FROM b JOIN k USING (node) GROUP BY 1)"""
+
+
+def merge_sql(rest: str) -> str:
+    return graph_sql(SMALL + "\n" + rest).replace(")\n, b AS", "),\nb AS")
+
+
+def lopsided(g: Graph) -> DataFrame:
+    return g.vertices.select(F.col("id").alias("node"), F.when(F.col("id") % 10 == 0, 1000 + F.col("id") % 40).otherwise(F.col("id") % 5).alias("community"))
+
+
+def tenth(g: Graph) -> int:
+    return merge.MergeOptions(min_fraction=0.1).threshold(g.vertices.count())
+
+
+@query(merge_sql("SELECT community, size FROM cand"))
+def merge_threshold_candidates(spark, d):
+    g = part_graph(spark, d)
+    return merge.candidates(lopsided(g), tenth(g))
+
+
+@query(merge_sql("SELECT community, arg_min(target, (-weight, target)) AS target FROM ln JOIN cand USING (community) GROUP BY 1"))
+def merge_target_connectivity(spark, d):
+    g = part_graph(spark, d)
+    return merge.first_targets(g, lopsided(g), tenth(g))
+
+
+@query(
+    merge_sql(
+        """SELECT community, arg_min(target, (-gain, target)) AS target FROM (SELECT ln.community, target, 2 * weight / m - 2 * 1.0::DOUBLE * a.s * z.s / (m * m) AS gain
+FROM ln JOIN cand USING (community) JOIN st a ON a.community = ln.community JOIN st z ON z.community = ln.target, m) GROUP BY 1"""
+    )
+)
+def merge_target_modularity(spark, d):
+    g = part_graph(spark, d)
+    return merge.first_targets(g, lopsided(g), tenth(g), "modularity")
+
+
+@query(
+    f"""WITH n AS (SELECT p_partkey AS node FROM part WHERE p_partkey <= {NODES}), mm AS (SELECT node, node % 4 AS community FROM n UNION ALL SELECT node, 100 + node % 7 FROM n)
+SELECT a.community, b.community AS other, count(*) AS shared FROM mm a JOIN mm b ON a.node = b.node AND a.community <> b.community WHERE a.community >= 100 GROUP BY 1, 2"""
+)
+def overlap_counts(spark, d):
+    c = cover(spark, d, 4, 7)
+    return merge.overlap_counts(c, c.filter("community >= 100").select("community").distinct())
+
+
+# --- whole algorithms: their results are checked by tests, not by SQL
+
+
+FIXED = detect.LouvainOptions(seed=42)
+EGO = ego.EgoSplittingOptions(detect.Louvain(detect.LouvainOptions(seed=1)), detect.Louvain(detect.LouvainOptions(seed=1, max_passes=1)))
+
+
+@query()
+def louvain_full(spark, d):
+    return detect.Louvain(FIXED).detect(part_graph(spark, d, 2)).partition
+
+
+@query()
+def leiden_full(spark, d):
+    return detect.Leiden(detect.LeidenOptions(seed=42)).detect(part_graph(spark, d, 2)).partition
+
+
+@query()
+def louvain_metrics(spark, d):
+    return detect.Louvain(FIXED).detect(supplier_graph(spark, d)).metrics()
+
+
+@query()
+def louvain_warm(spark, d):
+    g = part_graph(spark, d, 2)
+    prior = detect.Louvain(FIXED).detect(g).partition
+    return detect.Louvain(FIXED).warm(prior).detect(g).partition
+
+
+@query()
+def ego_detect(spark, d):
+    return ego.EgoSplitting(EGO).detect(part_graph(spark, d, 2)).memberships
+
+
+@query()
+def ego_with_prior(spark, d):
+    g = part_graph(spark, d, 2)
+    return online.OnlineEgoSplitting(EGO).detect_with_prior(g, modulo_partition(g)).memberships
+
+
+@query()
+def ego_update(spark, d):
+    g = part_graph(spark, d, 2)
+    new = spark.createDataFrame([(11, 23, 1.0), (11, 10**9, 1.0)], "src long, dst long, weight double")
+    after = g.add_edges(new)
+    before = online.OnlineEgoSplitting(EGO).detect(g)
+    return online.OnlineEgoSplitting(EGO).update(after, online.GraphDelta(spark.createDataFrame([(10**9,)], "id long"), new), before).memberships
+
+
+@query()
+def merge_disjoint(spark, d):
+    g = part_graph(spark, d, 2)
+    return merge.merge_communities(g, detect.Louvain(FIXED).detect(g), merge.MergeOptions(min_size=5)).partition
+
+
+@query()
+def merge_overlapping(spark, d):
+    g = part_graph(spark, d, 2)
+    return merge.merge_overlapping(g, ego.EgoSplitting(EGO).detect(g), merge.MergeOptions(min_size=3)).memberships
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+__all__ = ["co_occurrence", "oracle_sql", "queries"]
