@@ -57,22 +57,22 @@ def later_windows(windows: DataFrame, salts: int = SALTS) -> DataFrame:
     return later.groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
 
 
-def dedup_lines(docs: DataFrame, span: int = SPAN, salts: int = SALTS) -> DataFrame:
-    """Per row: all columns of ``docs``, its text without later repeats, and n_lines, lines_removed.
+def dedup_lines(docs: DataFrame, span: int = SPAN, salts: int = SALTS, counts: tuple[str, str] = ("n_lines", "lines_removed")) -> DataFrame:
+    """Per row: all columns of ``docs``, its text without later repeats, and the two counts.
 
-    The added columns replace columns of those names.
+    The counts replace columns of their names; all other columns pass through.
     """
-    docs = docs.drop("n_lines", "lines_removed").withColumn("text", F.coalesce("text", F.lit("")))
-    starts = later_windows(line_windows(docs.select("doc_id", "text"), span), salts).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(starts.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left")
+    docs = docs.drop(*counts).withColumn("text", F.coalesce("text", F.lit("")))
+    starts = later_windows(line_windows(docs.select("doc_id", "text"), span), salts).select(F.col("doc_id").alias("__dedup_id"), F.col("starts").alias("__dedup_starts"))
+    joined = docs.join(starts.hint("shuffle_hash"), F.col("doc_id") == F.col("__dedup_id"), "left")
     lines = F.split(F.col("text"), "\n", -1)
-    gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + span - 1))))
+    gone = F.array_distinct(F.flatten(F.transform("__dedup_starts", lambda s: F.sequence(s, s + span - 1))))
     # a lambda over an array of one holds the lines, so that they are split once and fetched by position
-    kept = F.transform(F.array(lines), lambda own: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("_gone")), lambda i: F.get(own, i)), "\n"))[0]
-    shown = joined.withColumn("_gone", gone)
-    text = F.when(F.col("starts").isNull(), F.col("text")).otherwise(kept)
-    more = {"n_lines": F.size(lines).cast("long"), "lines_removed": F.coalesce(F.size("_gone").cast("long"), F.lit(0).cast("long"))}
-    return shown.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns), *(v.alias(k) for k, v in more.items()))
+    kept = F.transform(F.array(lines), lambda own: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("__dedup_gone")), lambda i: F.get(own, i)), "\n"))[0]
+    shown = joined.withColumn("__dedup_gone", gone)
+    text = F.when(F.col("__dedup_starts").isNull(), F.col("text")).otherwise(kept)
+    more = (F.size(lines).cast("long"), F.coalesce(F.size("__dedup_gone").cast("long"), F.lit(0).cast("long")))
+    return shown.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns), *(v.alias(k) for k, v in zip(counts, more)))
 
 
 def op2(docs: DataFrame) -> DataFrame:
