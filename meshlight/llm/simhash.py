@@ -41,7 +41,7 @@ from meshlight.operators.components import connected_components
 
 from .common import arrow_map, cut, texts_of
 
-SHINGLE, RADIUS, PIVOTS, BLOCKS, MOST = 4, 4, 16, 6, 20_000
+SHINGLE, RADIUS, PIVOTS, BLOCKS, MOST = 4, 4, 16, 6, 500_000
 UPPER = bytes(range(65, 91))
 TO_LOWER = bytes.maketrans(UPPER, UPPER.lower())
 #: The reference fingerprints: hashes of 1, 2, 3 ...
