@@ -173,13 +173,13 @@ def bucket_column(node: Column, seed: int, buckets: int) -> Column:
     return F.pmod(F.pmod(node, mod) * kernel.HASH_NODE + seed % kernel.HASH_MOD * kernel.HASH_SEED, mod) % buckets
 
 
-def step(adjacency: DataFrame, strength: DataFrame, part: DataFrame, total: float, bucket: int, options: kernel.MoveOptions) -> DataFrame:
-    """(node, community) of the nodes of one bucket that move. part (node, community), strength (node, k)."""
-    own = strength.filter((bucket_column(F.col("node"), options.seed, options.buckets) == bucket) & (F.col("k") > 0)).join(part, "node").select("node", "k", F.col("community").alias("now"))
-    near = adjacency.filter(bucket_column(F.col("src"), options.seed, options.buckets) == bucket).join(part.select(F.col("node").alias("dst"), "community"), "dst").select(F.col("src").alias("node"), "community", "weight")
+def step(adjacency: DataFrame, state: DataFrame, total: float, bucket: int, options: kernel.MoveOptions) -> DataFrame:
+    """(node, community) of the nodes of one bucket that move. state (node, k, community): k is the strength."""
+    own = state.filter((bucket_column(F.col("node"), options.seed, options.buckets) == bucket) & (F.col("k") > 0)).select("node", "k", F.col("community").alias("now"))
+    near = adjacency.filter(F.col("bucket") == bucket).join(state.select(F.col("node").alias("dst"), "community"), "dst").select(F.col("src").alias("node"), "community", "weight")
     near = near.unionByName(own.select("node", F.col("now").alias("community"), F.lit(0.0).alias("weight")))
     into = near.groupBy("node", "community").agg(F.sum("weight").alias("kin"))
-    sums = part.join(strength, "node").groupBy("community").agg(F.sum("k").alias("sum"))
+    sums = state.groupBy("community").agg(F.sum("k").alias("sum"))
     factor = 4.0 if options.gain == "reference" else 2.0
     seen = into.join(own, "node").join(sums, "community")
     stay = F.col("community") == F.col("now")
@@ -190,16 +190,19 @@ def step(adjacency: DataFrame, strength: DataFrame, part: DataFrame, total: floa
 
 
 def sweep(graph: Graph, part: DataFrame, total: float, options: kernel.MoveOptions) -> tuple[DataFrame, int]:
-    """One sweep over all buckets; the new partition and the number of moves."""
-    adjacency = cut(graph.adjacency)
-    strength = cut(graph.strength().select(F.col("id").alias("node"), F.col("strength").alias("k")))
-    moves = 0
+    """One sweep over all buckets; the new partition and the number of moves.
+
+    The strength of a node travels with its community, so a step joins the
+    edges of its bucket with the state and nothing else of their size; moves
+    are counted in the state and summed once.
+    """
+    adjacency = cut(graph.adjacency.withColumn("bucket", bucket_column(F.col("src"), options.seed, options.buckets)))
+    strength = adjacency.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k"))
+    state = cut(part.join(strength, "node", "left").select("node", F.coalesce("k", F.lit(0.0)).alias("k"), "community", F.lit(0).alias("moves")))
     for r in range(options.buckets):
-        moved = step(adjacency, strength, part, total, r, options).withColumnRenamed("community", "_to")
-        part = cut(part.join(moved, "node", "left").select("node", F.coalesce("_to", "community").alias("community"), F.col("_to").isNotNull().alias("_moved")))
-        moves += part.filter("_moved").count()
-        part = part.select("node", "community")
-    return part, moves
+        moved = step(adjacency, state, total, r, options).withColumnRenamed("community", "_to")
+        state = cut(state.join(moved, "node", "left").select("node", "k", F.coalesce("_to", "community").alias("community"), (F.col("moves") + F.col("_to").isNotNull().cast("int")).alias("moves")))
+    return state.select("node", "community"), state.agg(F.sum("moves")).first()[0] or 0
 
 
 def _distributed(graph: Graph, options: kernel.MoveOptions, start: DataFrame | None) -> CommunityResult:
