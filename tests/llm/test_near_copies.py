@@ -57,3 +57,19 @@ def test_forest_spans_what_all_pairs_link():
         old, new = max(root[a], root[b]), min(root[a], root[b])
         root = [new if r == old else r for r in root]
     assert root == brute_components(texts)
+
+
+def test_rows_are_decided_one_by_one(spark):
+    rng = random.Random(8)
+    a, b, c, d, e, f = (words(rng, 60) for _ in range(6))
+    held = [
+        (None, a), (None, b), (None, edited(rng, b, 1)),  # no id: each group keeps a row
+        (7, c), (None, c), (8, edited(rng, c, 1)),  # a copy without an id goes, however small its digest
+        (1, d), (9, d), (9, e), (9, e),  # one id, two texts: only the copy of id 1 goes
+        (5, f), (5, edited(rng, f, 1)),  # one id, near copies
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), "x", 1, 2) for i, t in held], DOCS).repartition(3)
+    stage = corpus_pipeline.simhash_stage(spark, docs, "")
+    assert stage.columns == docs.columns
+    kept = [(r.doc_id, next(n for n, t in zip("abcdef", (a, b, c, d, e, f)) if r.text.split()[:1] == t.split()[:1] or r.text.split()[-5:] == t.split()[-5:])) for r in stage.collect()]
+    assert sorted(kept, key=str) == sorted([(None, "a"), (None, "b"), (7, "c"), (1, "d"), (9, "e"), (5, "f")], key=str)
