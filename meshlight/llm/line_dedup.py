@@ -6,14 +6,16 @@ anywhere, the first occurrence (lowest doc_id, then position) stays and the
 lines of all later ones go; overlapping windows are merged by position, so a
 long repeated passage goes as a whole. Windows of blank lines only don't
 count. Documents of fewer than three lines have no window and stay as they
-are, as do null (treated as empty) and empty texts. Rows repeated with one
-doc_id count as one place, so they keep or lose the same lines.
+are, as do null (treated as empty) and empty texts. A place is a doc_id and a
+text (by its 64-bit hash): rows that repeat both keep or lose the same lines,
+other texts of the same id are texts of their own, and rows without an id come
+after those with one.
 
 Windows are counted with a map-side partial aggregation on (window, salt) and
 then by window; what marks a later occurrence comes back on (window, salt),
 so a window that a third of all documents share is spread over the salts.
 Texts are not shuffled before the positions to remove are known; they meet
-their documents in one left join on doc_id.
+their documents in one left join on doc_id and the hash of the text.
 """
 
 from __future__ import annotations
@@ -24,18 +26,20 @@ from pyspark.sql import functions as F
 from .common import texts_of
 
 SALTS, SPAN = 64, 3
+DIGEST = "__dedup_digest"
 
 
 def line_windows(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """(doc_id, pos, h1, h2) for each window of lines; pos counts lines from 0."""
+    """(doc_id, digest of the text, pos, h1, h2) for each window of lines; pos counts lines from 0."""
     lines = F.split(F.col("text"), "\n", -1)
-    some = docs.filter(F.size(lines) >= span).select("doc_id", lines.alias("lines"))
+    some = docs.filter(F.size(lines) >= span).select("doc_id", F.xxhash64("text").alias(DIGEST), lines.alias("lines"))
     hashed = some.select(
         "doc_id",
+        DIGEST,
         F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"), (F.length(F.trim(x)) == 0).alias("blank"))).alias("h"),
     )
     windows = F.transform(F.sequence(F.lit(0), F.size("h") - span), lambda i: _window(i, span))
-    return hashed.select("doc_id", F.inline(F.filter(windows, lambda w: ~w["blank"]))).drop("blank")
+    return hashed.select("doc_id", DIGEST, F.inline(F.filter(windows, lambda w: ~w["blank"]))).drop("blank")
 
 
 def _window(i: Column, span: int) -> Column:
@@ -47,14 +51,14 @@ def _window(i: Column, span: int) -> Column:
 
 
 def later_windows(windows: DataFrame, salts: int = SALTS) -> DataFrame:
-    """(doc_id, starts) of the windows that occurred before, in one row for each document."""
-    dealt = windows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    place = F.struct("doc_id", "pos")
+    """(doc_id, digest, starts) of the windows that occurred before, in one row for each place."""
+    dealt = windows.withColumn("salt", F.pmod(F.xxhash64("doc_id", DIGEST), F.lit(salts)).cast("int"))
+    place = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", DIGEST, "pos")
     part = dealt.groupBy("h1", "h2", "salt").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     whole = part.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.collect_list("salt").alias("own")).filter("n > 1")
     marks = whole.select("h1", "h2", "first", F.explode("own").alias("salt"))
-    later = dealt.join(marks, ["h1", "h2", "salt"]).filter(F.struct("doc_id", "pos") > F.col("first"))
-    return later.groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
+    later = dealt.join(marks, ["h1", "h2", "salt"]).filter(place > F.col("first"))
+    return later.groupBy("doc_id", DIGEST).agg(F.collect_set("pos").alias("starts"))
 
 
 def dedup_lines(docs: DataFrame, span: int = SPAN, salts: int = SALTS, counts: tuple[str, str] = ("n_lines", "lines_removed")) -> DataFrame:
@@ -63,8 +67,8 @@ def dedup_lines(docs: DataFrame, span: int = SPAN, salts: int = SALTS, counts: t
     The counts replace columns of their names; all other columns pass through.
     """
     docs = docs.drop(*counts).withColumn("text", F.coalesce("text", F.lit("")))
-    starts = later_windows(line_windows(docs.select("doc_id", "text"), span), salts).select(F.col("doc_id").alias("__dedup_id"), F.col("starts").alias("__dedup_starts"))
-    joined = docs.join(starts.hint("shuffle_hash"), F.col("doc_id") == F.col("__dedup_id"), "left")
+    starts = later_windows(line_windows(docs.select("doc_id", "text"), span), salts).select(F.col("doc_id").alias("__dedup_id"), DIGEST, F.col("starts").alias("__dedup_starts"))
+    joined = docs.join(starts.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__dedup_id")) & (F.xxhash64("text") == F.col(DIGEST)), "left")
     lines = F.split(F.col("text"), "\n", -1)
     gone = F.array_distinct(F.flatten(F.transform("__dedup_starts", lambda s: F.sequence(s, s + span - 1))))
     # a lambda over an array of one holds the lines, so that they are split once and fetched by position

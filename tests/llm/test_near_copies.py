@@ -3,7 +3,7 @@ import random
 import corpus_pipeline
 from conftest import DOCS, words
 
-from meshlight.llm import near_copies
+from meshlight.llm import line_dedup, near_copies
 
 
 def brute_components(texts, least=0.8):
@@ -73,3 +73,12 @@ def test_rows_are_decided_one_by_one(spark):
     assert stage.columns == docs.columns
     kept = [(r.doc_id, next(n for n, t in zip("abcdef", (a, b, c, d, e, f)) if r.text.split()[:1] == t.split()[:1] or r.text.split()[-5:] == t.split()[-5:])) for r in stage.collect()]
     assert sorted(kept, key=str) == sorted([(None, "a"), (None, "b"), (7, "c"), (1, "d"), (9, "e"), (5, "f")], key=str)
+
+
+def test_line_dedup_by_id_and_text(spark):
+    lines = [f"line {k}" for k in range(12)]
+    first, second, third = ("\n".join(lines[k : k + 4]) for k in (0, 4, 8))
+    held = [(1, first), (2, first + "\nx"), (2, second + "\ny"), (None, second + "\nz"), (None, third), (9, third + "\nw"), (9, third + "\nw")]
+    found = line_dedup.dedup_lines(spark.createDataFrame(held, "doc_id long, text string").repartition(3), salts=3).collect()
+    want = [(1, first), (2, "x"), (2, second + "\ny"), (None, "z"), (None, ""), (9, third + "\nw"), (9, third + "\nw")]
+    assert sorted(((r.doc_id, r.text) for r in found), key=str) == sorted(want, key=str)
