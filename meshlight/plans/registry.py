@@ -451,6 +451,53 @@ def overlap_counts(spark, d):
     return merge.overlap_counts(c, c.filter("community >= 100").select("community").distinct())
 
 
+# --- the same queries over covers of every part
+
+
+def small_communities(spark, d, a: int, b: int) -> DataFrame:
+    """Two memberships of each part, in communities of at most ``a`` and ``b`` neighbouring ids."""
+    part = table(spark, d, "part")
+    of = lambda c: part.select(F.col("p_partkey").alias("node"), c.cast("long").alias("community"))
+    return of(2 * F.floor(F.col("p_partkey") / a)).unionByName(of(2 * F.floor(F.col("p_partkey") / b) + 1))
+
+
+SHARED_SQL = """SELECT u, v, CAST(count(*) AS BIGINT) AS shared FROM (SELECT a.node AS u, b.node AS v FROM {0} a JOIN {0} b ON a.community = b.community AND a.node < b.node) GROUP BY 1, 2"""
+
+
+def members_sql(a: int, b: int) -> str:
+    return f"SELECT p_partkey AS node, 2 * (p_partkey // {a}) AS community FROM part UNION ALL SELECT p_partkey, 2 * (p_partkey // {b}) + 1 FROM part"
+
+
+@query(f"WITH x AS ({members_sql(4, 7)}) {SHARED_SQL.format('x')}")
+def shared_memberships_whole(spark, d):
+    return metrics.shared_memberships(small_communities(spark, d, 4, 7))
+
+
+@query(
+    f"""WITH x AS ({members_sql(4, 7)}), y AS ({members_sql(3, 8)}), sx AS ({SHARED_SQL.format("x")}), sy AS ({SHARED_SQL.format("y")}),
+n AS (SELECT count(*)::DOUBLE * (count(*) - 1) / 2 AS t FROM part),
+j AS (SELECT coalesce(sx.shared, 0) AS a, coalesce(sy.shared, 0) AS b FROM sx FULL JOIN sy USING (u, v)),
+z AS (SELECT t - (SELECT count(*) FROM j) AS none FROM n),
+o AS (SELECT (none + (SELECT count(*) FROM j WHERE a = b)) / t AS obs FROM z, n),
+lv AS (SELECT s, sum(fx) AS fx, sum(fy) AS fy FROM (SELECT a AS s, 1.0::DOUBLE AS fx, 0.0::DOUBLE AS fy FROM j UNION ALL SELECT b, 0.0, 1.0 FROM j UNION ALL SELECT 0, none, none FROM z) GROUP BY 1),
+c AS (SELECT sum(fx * fy) / (max(t) * max(t)) AS ex FROM lv, n)
+SELECT round(least(1.0, greatest(0.0, (obs - ex) / (1 - ex))), 9) AS omega FROM o, c"""
+)
+def omega_index_whole(spark, d):
+    return rounded(metrics.omega_index(small_communities(spark, d, 4, 7), small_communities(spark, d, 3, 8)))
+
+
+@query(
+    """WITH mm AS (SELECT p_partkey AS node, p_partkey % 4 AS community FROM part UNION ALL SELECT p_partkey, 100 + p_partkey % 7 FROM part)
+SELECT a.community, b.community AS other, count(*) AS shared FROM mm a JOIN mm b ON a.node = b.node AND a.community <> b.community WHERE a.community >= 100 GROUP BY 1, 2"""
+)
+def overlap_counts_whole(spark, d):
+    part = table(spark, d, "part")
+    of = lambda c: part.select(F.col("p_partkey").alias("node"), c.cast("long").alias("community"))
+    c = of(F.col("p_partkey") % 4).unionByName(of(100 + F.col("p_partkey") % 7))
+    return merge.overlap_counts(c, c.filter("community >= 100").select("community").distinct())
+
+
 # --- whole algorithms: their results are checked by tests, not by SQL
 
 
