@@ -451,7 +451,25 @@ def overlap_counts(spark, d):
     return merge.overlap_counts(c, c.filter("community >= 100").select("community").distinct())
 
 
-# --- the same queries over covers of every part
+# --- the same queries over all parts: the whole part graph, and covers of every part
+
+
+@query(ego_sql("SELECT * FROM net").replace("count(*) >= 2", "count(*) >= 1"))
+def ego_net_edges_whole(spark, d):
+    return ego.ego_net_edges(part_graph(spark, d))
+
+
+@query()
+def refine_components_whole(spark, d):
+    g = part_graph(spark, d)
+    p = g.vertices.select(F.col("id").alias("node"), F.floor(F.col("id") / 20).alias("community"))
+    return partition.refine(cut(g.merged), p)
+
+
+@query()
+def louvain_one_level_whole(spark, d):
+    g = part_graph(spark, d)
+    return one_level(Graph(g.vertices, cut(g.merged)))
 
 
 def small_communities(spark, d, a: int, b: int) -> DataFrame:
@@ -507,12 +525,12 @@ EGO = ego.EgoSplittingOptions(detect.Louvain(detect.LouvainOptions(seed=1)), det
 
 @query()
 def louvain_full(spark, d):
-    return detect.Louvain(FIXED).detect(part_graph(spark, d, 2)).partition
+    return detect.Louvain(FIXED).detect(part_graph(spark, d)).partition
 
 
 @query()
 def leiden_full(spark, d):
-    return detect.Leiden(detect.LeidenOptions(seed=42)).detect(part_graph(spark, d, 2)).partition
+    return detect.Leiden(detect.LeidenOptions(seed=42)).detect(part_graph(spark, d)).partition
 
 
 @query()
@@ -522,25 +540,25 @@ def louvain_metrics(spark, d):
 
 @query()
 def louvain_warm(spark, d):
-    g = part_graph(spark, d, 2)
+    g = part_graph(spark, d)
     prior = detect.Louvain(FIXED).detect(g).partition
     return detect.Louvain(FIXED).warm(prior).detect(g).partition
 
 
 @query()
 def ego_detect(spark, d):
-    return ego.EgoSplitting(EGO).detect(part_graph(spark, d, 2)).memberships
+    return ego.EgoSplitting(EGO).detect(part_graph(spark, d)).memberships
 
 
 @query()
 def ego_with_prior(spark, d):
-    g = part_graph(spark, d, 2)
+    g = part_graph(spark, d)
     return online.OnlineEgoSplitting(EGO).detect_with_prior(g, modulo_partition(g)).memberships
 
 
 @query()
 def ego_update(spark, d):
-    g = part_graph(spark, d, 2)
+    g = part_graph(spark, d)
     new = spark.createDataFrame([(11, 23, 1.0), (11, 10**9, 1.0)], "src long, dst long, weight double")
     after = g.add_edges(new)
     before = online.OnlineEgoSplitting(EGO).detect(g)
@@ -549,13 +567,13 @@ def ego_update(spark, d):
 
 @query()
 def merge_disjoint(spark, d):
-    g = part_graph(spark, d, 2)
+    g = part_graph(spark, d)
     return merge.merge_communities(g, detect.Louvain(FIXED).detect(g), merge.MergeOptions(min_size=5)).partition
 
 
 @query()
 def merge_overlapping(spark, d):
-    g = part_graph(spark, d, 2)
+    g = part_graph(spark, d)
     return merge.merge_overlapping(g, ego.EgoSplitting(EGO).detect(g), merge.MergeOptions(min_size=3)).memberships
 
 

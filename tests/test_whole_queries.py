@@ -20,3 +20,12 @@ def test_covers_of_all_parts(spark, folder):
     assert got == want
     shared = {(r[0], r[1]): r[2] for r in registry.queries()["shared_memberships_whole"](spark, folder).collect()}
     assert shared == {(a, b): n for b in range(1, 201) for a in range(1, b) if (n := (a // 4 == b // 4) + (a // 7 == b // 7))}
+
+
+def test_graph_queries_use_pairs_that_meet_once(spark, folder):
+    run = lambda name: registry.queries()[name](spark, folder).collect()
+    for name in ("louvain_full", "leiden_full"):
+        of = {r.node: r.community for r in run(name)}
+        assert len(of) == 200 and of[1] == of[2] == of[3] != of[101] == of[102] == of[103]
+    nets = {(r.ego, r.src, r.dst) for r in run("ego_net_edges_whole")}
+    assert nets == {(1, 2, 3), (2, 1, 3), (3, 1, 2), (101, 102, 103), (102, 101, 103), (103, 101, 102)}
