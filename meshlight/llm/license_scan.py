@@ -50,10 +50,23 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
     "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
 }
+#: Digests of the canonical form of further entire texts, with and without what follows their terms.
+DIGESTS = {
+    "Apache-2.0": ["1194adb25e7540f77d57931f8ad90e5612dd3ae3217c04bcd0df53d63111f7c4", "955fce7767758d2694d6b82c1f7c1c9b00cea363031fef20601cf7e6f7cb796a", "ac4caf86a3a9015c02bc6dd5dab8853468c3d4ad9965ba458b5ea64ffd7561d3"],
+    "BSD-2-Clause": ["a56fee4b2f66331ed54da4950ef9c9391453fd1490b4d8ea202bc29683bcbd30"],
+    "CC-BY-SA-4.0": ["06d22f0e3a6b0cc51abb77214a63da8b02d43eef3b90a7d13bc428a64ef0e8a3"],
+    "CC0-1.0": ["92f195ae84ff559b03177551e6c1166f57d3cc30f5a7d806b4039e24906bd8de"],
+    "GPL-2.0": ["51666f162540b1cee141bdc13e100b8583214ae131ff388238b1af3523860a64", "667e636b2ed323c228e8426de94fc4852d066c4b274e3e6213bcbb7bf53a54ea", "76f0d880e6ba8aebe23e15979004b0c84e86e4dbb2307f1ca2d570e109df9707", "8421e8e974227f5e17d98aac8b42f87f0f3b0cd76e0b857557e02409eb362940", "96cf6b00d09b303d628c94daf75c4c6fa990ed64ae2684c7ed2b7b92a3b56ff2", "e68b1db4517453c7e7fc05d2e9c03a4e908ee80f975984697961e2dffa682df6"],
+    "GPL-3.0": ["009ae8dfd1a9d69050f8e46eaf1de39ae9e3be1e4515dfaaa23d7a66b736b406", "0fb1f5ccc80f73cf8fdd3aeb4f198f392905f38516273cf881d75c10517204c4", "12ea386c51594e10ebdd02b564052966dbe008c49fefd2b258bb4e8cb485ea1b", "494973d552242836ba7a5813ee0dea8e621a5496585fd5d73761e8b79a844624", "52f05246a365b2e89675dfebb201e2da8f698f369b3087bc86135dfcbd89c8e0", "e04d849565216087bf43d5f41461b4e1678ac30edc6c47b3e503c619ef9f7e94"],
+    "LGPL-3.0": ["4d2f65a1f943216cd035610b9db1feb9151d197efffff29e287f675a0b018611"],
+    "MPL-2.0": ["1f73c9877753ecf4aa51d0e3130945619dccb798244b982a2722059ea77c1770"],
+}
 #: Spellings that count as the same, after case and punctuation are gone, in this order.
 EQUAL = [("licence", "license"), ("licenced", "licensed"), ("noncommercial", "non commercial"), ("sublicence", "sublicense"), ("organisation", "organization"), ("merchantibility", "merchantability"), ("version", "v"), ("https", "http")]
 
 COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
+#: What the query deletes: no line on which a sentence of a licence goes on. The SQL keeps COPYRIGHT_LINE, as RE2 has no lookahead.
+OWNER_LINE = r"(?m)^[ \t]*(?:copyright\b(?![ \t]+(?:notices?|holders?|owners?|law|licen[sc]es?|statements?|and|or|in|to|interest|treaty|disclaimers?)\b)|\(c\)(?![ \t]+(?:you|an?|any|all|if|to|in|by|use|such|this)\b)|©|all rights reserved)[^\n]*$"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 OPEN_THE = r"\b(under|identifier) the "
 NUMBERED = r"\bv ?([0-9]+)(?: 0)?\b"
@@ -61,7 +74,7 @@ NUMBERED = r"\bv ?([0-9]+)(?: 0)?\b"
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text, in built-in functions."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
+    out = F.regexp_replace(F.lower(text), OWNER_LINE, " ")
     out = F.trim(F.regexp_replace(out, NOT_WORD, " "))
     for spelling, same in EQUAL:
         out = F.regexp_replace(out, rf"\b{spelling}\b", same)
@@ -71,7 +84,7 @@ def canonical(text: Column) -> Column:
 
 def canonical_py(text: str) -> str:
     """The same for the table of known texts."""
-    out = re.sub(COPYRIGHT_LINE, " ", text.lower())
+    out = re.sub(OWNER_LINE, " ", text.lower())
     out = re.sub(r"[\W_]+", " ", out).strip(" ")
     for spelling, same in EQUAL:
         out = re.sub(rf"\b{spelling}\b", same, out)
@@ -87,10 +100,17 @@ def known() -> dict[str, str]:
     return {hashlib.sha256(canonical_py(t).encode()).hexdigest(): spdx for spdx, t in texts}
 
 
+@cache
+def known_whole() -> dict[str, str]:
+    """The entire texts that only the query knows, and headings as published files write them."""
+    heads = [("MIT", f"The MIT License (MIT)\n{TEXTS['MIT']}"), ("MIT", f"The MIT License\n{TEXTS['MIT']}"), ("ISC", f"The ISC License\n{TEXTS['ISC']}")]
+    return {hashlib.sha256(canonical_py(t).encode()).hexdigest(): spdx for spdx, t in heads} | {d: spdx for spdx, own in DIGESTS.items() for d in own}
+
+
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """Per document with a match: doc_id, licenses (SPDX identifiers, sorted, comma-joined), n_lines, whole_text."""
     spark = docs.sparkSession
-    digests = spark.createDataFrame(sorted(known().items()), "digest string, spdx string")
+    digests = spark.createDataFrame(sorted((known() | known_whole()).items()), "digest string, spdx string")
     text = doc_text()
     unit = lambda t, whole: F.struct(F.sha2(canonical(t), 256).alias("digest"), F.lit(whole).alias("whole"))
     units = F.array_union(F.array(unit(text, 1)), F.transform(F.array_distinct(F.split(text, "\n", -1)), lambda t: unit(t, 0)))
