@@ -14,8 +14,9 @@ REPO_ROOT = str(Path(__file__).resolve().parent.parent)
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (unit tests, a laptop) a temporary
-    folder is set, since checkpoint() would otherwise fail.
+    Only where that setting is absent and all tasks run in this process (unit
+    tests, a laptop) a temporary folder is set, since checkpoint() would
+    otherwise fail; on a cluster it would be one that executors don't share.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None)
@@ -25,6 +26,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="meshlight-checkpoint-")
     sc.setCheckpointDir(own)
     return own
