@@ -8,10 +8,14 @@ apart (q-gram lemma), hence within one of overlapping diagonal bands of width
 2(k + 1) and step k + 1. Bands with fewer hits are discarded; the regions of
 the others are verified by an alignment inside the band, exact matches first.
 
-For short items k is lowered until t >= 1. Items of fewer than q bytes after
-folding carry no q-gram; they match documents that equal them as a whole.
+Each item has its own q, the largest up to 8 with t >= 1, so that items of any
+length keep their whole budget. An item too short for one edit must stand
+alone: no letter or digit may continue it at an end that is one itself, else
+"ten" would leak into every "often".
+
 Empty items match nothing; null and empty documents leak nothing. Items that
-repeat are reported each.
+repeat are reported each. A document and item give one row, the best region
+(fewest edits, then the first found); further places of it aren't listed.
 
 The items are sent to the tasks in blocks of at most ``block_mb``, whatever
 the benchmark's size: each block passes over the documents in turn. Documents
@@ -41,31 +45,26 @@ def folded(text: str) -> bytes:
 
 
 def grams(data: bytes) -> np.ndarray:
-    """All windows of 8 bytes as integers, without a copy."""
-    return np.ndarray(max(0, len(data) - Q + 1), "<u8", data, strides=(1,)) if len(data) >= Q else np.zeros(0, "<u8")
+    """The 8 bytes from each place of the data on as integers; behind the end come zeros."""
+    return np.ndarray(len(data), "<u8", data + bytes(Q - 1), strides=(1,)) if data else np.zeros(0, "<u8")
 
 
-class ItemIndex:
-    """The q-grams of a block of items."""
+def gram_size(m: int, k: int) -> int:
+    """The largest q up to 8 at which a region within k edits of m bytes surely shares a q-gram."""
+    return min(Q, m // (k + 1))
 
-    def __init__(self, items: list[tuple[int, str]], budget: float = BUDGET):
-        kept = [(i, folded(t or "")) for i, t in items]
-        self.short: dict[bytes, list[int]] = {}
-        for i, t in kept:
-            if 0 < len(t) < Q:
-                self.short.setdefault(t, []).append(i)
-        kept = [(i, t) for i, t in kept if len(t) >= Q]
-        self.ids, self.texts = [i for i, _ in kept], [t for _, t in kept]
-        m = np.array([len(t) for t in self.texts], np.int64)
-        self.edits = np.minimum(np.floor(budget * m), m // Q - 1).astype(np.int64)
-        self.need = m + 1 - Q * (self.edits + 1)
-        own = [grams(t) for t in self.texts]
-        all_grams = np.concatenate([*own, np.zeros(0, "<u8")])
-        order = np.argsort(all_grams, kind="stable")
-        self.grams = all_grams[order]
-        self.item = np.repeat(np.arange(len(own)), [len(g) for g in own])[order]
-        self.pos = np.concatenate([*(np.arange(len(g)) for g in own), np.zeros(0, np.int64)]).astype(np.int64)[order]
-        self.distinct, self.first, self.times = np.unique(self.grams, return_index=True, return_counts=True)
+
+class GramTable:
+    """The q-grams of the items that have this q."""
+
+    def __init__(self, q: int, numbers: list[int], texts: list[bytes]):
+        self.q, self.mask = q, np.uint64((1 << 8 * q) - 1)
+        own = [grams(t)[: len(t) - q + 1] & self.mask for t in texts]
+        flat = np.concatenate(own)
+        order = np.argsort(flat, kind="stable")
+        self.item = np.repeat(np.array(numbers, np.int64), [len(g) for g in own])[order]
+        self.pos = np.concatenate([np.arange(len(g)) for g in own])[order]
+        self.distinct, self.first, self.times = np.unique(flat[order], return_index=True, return_counts=True)
         self.seen = np.zeros(1 << BITS, bool)
         self.seen[self.slot(self.distinct)] = True
 
@@ -73,19 +72,53 @@ class ItemIndex:
     def slot(g: np.ndarray) -> np.ndarray:
         return (g * MIX) >> np.uint64(64 - BITS)
 
-    def hits(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position in data, item, position in item) of every shared q-gram."""
-        g = grams(data)
-        at = np.flatnonzero(self.seen[self.slot(g)]) if len(g) and len(self.distinct) else np.zeros(0, np.int64)
+    def hits(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position in the data, item, position in the item) of every shared q-gram."""
+        g = windows[: max(0, len(windows) - self.q + 1)]
+        g = g if self.q == Q else g & self.mask
+        at = np.flatnonzero(self.seen[self.slot(g)])
         k = np.searchsorted(self.distinct, g[at])
         k[k == len(self.distinct)] = 0
-        same = self.distinct[k] == g[at] if len(at) else np.zeros(0, bool)
+        same = self.distinct[k] == g[at]
         at, k = at[same], k[same]
         n = self.times[k]
         entry = np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
         return np.repeat(at, n), self.item[entry], self.pos[entry]
 
 
+class ItemIndex:
+    """The q-grams of a block of items."""
+
+    def __init__(self, items: list[tuple[int, str]], budget: float = BUDGET):
+        kept = [(i, t) for i, text in items if (t := folded(text or ""))]
+        self.ids, self.texts = [i for i, _ in kept], [t for _, t in kept]
+        m = np.array([len(t) for t in self.texts], np.int64)
+        self.edits = np.floor(budget * m).astype(np.int64)
+        sizes = [gram_size(len(t), int(k)) for t, k in zip(self.texts, self.edits)]
+        self.need = m + 1 - np.array(sizes, np.int64) * (self.edits + 1)
+        numbers = {q: [n for n, own in enumerate(sizes) if own == q] for q in sorted(set(sizes))}
+        self.tables = [GramTable(q, own, [self.texts[n] for n in own]) for q, own in numbers.items()]
+
+    def hits(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position in data, item, position in item) of every shared q-gram."""
+        windows, none = grams(data), np.zeros(0, np.int64)
+        found = [t.hits(windows) for t in self.tables]
+        return tuple(np.concatenate([none, *(f[k] for f in found)]) for k in range(3))
+
+
+def goes_on(c: int) -> bool:
+    """Whether a byte is of a letter, a digit or a character beyond ASCII."""
+    return c >= 128 or chr(c).isalnum()
+
+
+def alone(item: bytes, data: bytes, at: int) -> bool:
+    """Whether the item stands at this place and is not a part of a longer word."""
+    end = at + len(item)
+    if data[at:end] != item or at and goes_on(item[0]) and goes_on(data[at - 1]):
+        return False
+    return not (end < len(data) and goes_on(item[-1]) and goes_on(data[end]))
+
+
 def banded(item: bytes, region: bytes, low: int, high: int, most: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the best region within ``most`` edits of the item, on diagonals low..high.
 
@@ -132,14 +165,16 @@ def leaks_in(index: ItemIndex, data: bytes, borders: np.ndarray) -> list[tuple[i
     """(document's number, item, start, length, edits): for each document and item the first best band."""
     at, item, pos = index.hits(data)
     doc = np.searchsorted(borders, at, side="right") - 1
+    whole = [] if index.edits.all() else standing(index, data, borders, *(x[(index.edits[item] == 0) & (pos == 0)] for x in (at, item, doc)))
+    at, item, pos, doc = (x[index.edits[item] > 0] for x in (at, item, pos, doc))
     if not len(at):
-        return []
+        return whole
     # a document and item with too few hits in all need no bands
     pairs, pair, n = np.unique(doc * len(index.ids) + item, return_inverse=True, return_counts=True)
     enough = n[pair] >= index.need[item]
     at, item, pos, doc, pair = at[enough], item[enough], pos[enough], doc[enough], pair[enough]
     if not len(at):
-        return []
+        return whole
     step = index.edits[item] + 1
     upper = np.floor_divide(at - borders[doc] - pos, step)
     # band b covers diagonals from b * step on, over two steps; a q-gram of the item counts once in a band
@@ -169,7 +204,16 @@ def leaks_in(index: ItemIndex, data: bytes, borders: np.ndarray) -> list[tuple[i
         best = (0, exact, exact + len(text)) if exact >= 0 else banded(text, region, low - k - own_low, high + k - own_low, k)
         if best and ((d, i) not in found or best[0] < found[d, i][0]):
             found[d, i] = (best[0], own_low + best[1], best[2] - best[1])
-    return [(d, i, s, n, e) for (d, i), (e, s, n) in found.items()]
+    return whole + [(d, i, s, n, e) for (d, i), (e, s, n) in found.items()]
+
+
+def standing(index: ItemIndex, data: bytes, borders: np.ndarray, at: np.ndarray, item: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """The first place in each document at which an item that allows no edit stands alone."""
+    found: dict[tuple[int, int], int] = {}
+    for a, i, d in zip(at.tolist(), item.tolist(), doc.tolist()):
+        if (d, i) not in found and alone(index.texts[i], data, a):
+            found[d, i] = a
+    return [(d, i, a - int(borders[d]), len(index.texts[i]), 0) for (d, i), a in found.items()]
 
 
 def search(index: ItemIndex, ids: list, texts: list[str]) -> list[tuple]:
@@ -183,8 +227,6 @@ def search(index: ItemIndex, ids: list, texts: list[str]) -> list[tuple]:
             own = ids[first:n]
             borders = np.cumsum([0, *(len(p) + 1 for p in parts)])[:-1]
             out += [(own[d], index.ids[i], s, k, e) for d, i, s, k, e in leaks_in(index, b"\n".join(parts), borders)]
-            if index.short:
-                out += [(d, i, 0, len(p), 0) for d, p in zip(own, parts) for i in index.short.get(p, ())]
             first, parts, size = n, [], 0
     return out
 
