@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshlight.runtime import cut, ensure_checkpoint_dir, ensure_importable, table
@@ -37,14 +37,17 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 class BoundedCache(dict):
     """A dict that computes missing values and is emptied when it holds ``cap`` of them.
 
-    It only saves work: a value that went is computed again, the same.
+    Values of keys longer than ``longest`` are not kept. It only saves work: a
+    value that went is computed again, the same.
     """
 
-    def __init__(self, compute: Callable, cap: int):
+    def __init__(self, compute: Callable, cap: int, longest: int = 1 << 62):
         super().__init__()
-        self.compute, self.cap = compute, cap
+        self.compute, self.cap, self.longest = compute, cap, longest
 
     def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.compute(key)
         if len(self) >= self.cap:
             self.clear()
         value = self[key] = self.compute(key)
@@ -57,7 +60,3 @@ def per_worker(build: Callable, key: tuple, store: dict = {}) -> object:  # noqa
     if own not in store:
         store[own] = build(*key)
     return store[own]
-
-
-def whole_session(spark: SparkSession | None, df: DataFrame) -> SparkSession:
-    return spark or df.sparkSession

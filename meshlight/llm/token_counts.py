@@ -6,6 +6,9 @@ pre-token the recurrence is count[i] = count[j] + 1, where the one token
 that may end at byte i starts at j: it is in the vocabulary, and BPE leaves
 it and the last token before j apart. Across pre-tokens counts add up; only
 the last, cut pre-token of a prefix is looked at again, by its own rules.
+States of short pre-tokens are shared by those that begin alike; a long one
+(a run of letters without a space, say) has two integers for each of its
+bytes and is not kept, so memory is linear in the longest text.
 
 Null and empty texts have 0 tokens; repeated rows give repeated rows; other
 columns are not read, so their names can't clash.
@@ -13,8 +16,9 @@ columns are not read, so their names can't clash.
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import accumulate
 
 import pyarrow as pa
@@ -28,6 +32,8 @@ from .common import BoundedCache, arrow_map, per_worker, texts_of
 WORD_CACHE = 300_000
 PAIR_CACHE = 300_000
 STATES = 500_000
+#: Pre-tokens of more bytes share no states and are in no cache.
+LONG = 64
 
 
 class PrefixCounter:
@@ -37,7 +43,7 @@ class PrefixCounter:
         self.bpe = ByteBpe(path)
         self.blanks, self.blank = regex.compile(r"\s+").match, regex.compile(r"\s+").fullmatch
         self.apart = BoundedCache(self._apart, PAIR_CACHE)
-        self.whole = BoundedCache(self._last_count, WORD_CACHE)
+        self.whole = BoundedCache(self._last_count, WORD_CACHE, LONG)
         self.states: dict[bytes, tuple[int, bytes]] = {b"": (0, b"")}
         self.reach: dict[bytes, int] = {}  # by the last two bytes, the length of the longest token with that end
         for token in self.bpe.vocab:
@@ -73,11 +79,28 @@ class PrefixCounter:
             state = self._grow(word, i)
         return state
 
+    def _run(self, word: bytes) -> array:
+        """Of a long pre-token: the token count of each prefix, by bytes from 0 on."""
+        vocab, apart, reach = self.bpe.vocab, self.apart, self.reach
+        counts, lasts = array("l", bytes(8 * (len(word) + 1))), array("l", bytes(8 * (len(word) + 1)))
+        for i in range(1, len(word) + 1):
+            for j in range(max(0, i - reach.get(word[max(0, i - 2) : i], 1)), i):
+                token = word[j:i]
+                if token in vocab and apart[word[j - lasts[j] : j], token]:
+                    counts[i], lasts[i] = counts[j] + 1, i - j
+                    break
+            else:
+                raise ValueError(f"no token ends at byte {i}")
+        return counts
+
     def _last_count(self, word: str) -> int:
-        return self._state(word.encode())[0]
+        raw = word.encode()
+        return self._state(raw)[0] if len(raw) <= LONG else self._run(raw)[-1]
 
-    def prefix_counts(self, word: bytes) -> list[int]:
+    def prefix_counts(self, word: bytes) -> Sequence[int]:
         """Of one pre-token: the token count of each prefix, by bytes from 0 on."""
+        if len(word) > LONG:
+            return self._run(word)
         if word not in self.states:
             self._state(word)
         return [self.states[word[:i]][0] for i in range(len(word) + 1)]
