@@ -30,13 +30,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, crc_fold, texts_of
 
 PER_LANG, BUCKETS_LOG2, LEXICON, CHUNK, CACHE, UNKNOWN = 150, 16, 2000, 200_000, 250_000, "und"
-WORDS = re.compile(r"[^\W\d_]+").findall
+RUNS, LETTERS = re.compile(r"[^\W\d_]+").findall, regex.compile(r"\p{L}+").findall
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, words long, switches long"
 _P = np.uint64(1_099_511_628_211)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -50,8 +51,14 @@ class Model:
     transitions: np.ndarray = None  # log weights [from, to]
 
 
+def words_of(line: str) -> list[str]:
+    """Runs of letters; numerals such as ½ and Ⅷ, which the quicker pattern takes along, are none."""
+    found = RUNS(line)
+    return found if not found or "".join(found).isalpha() else LETTERS(line)
+
+
 def lines_of(text: str) -> list[list[str]]:
-    return [w for line in text.lower().split("\n") if (w := WORDS(line))]
+    return [w for line in text.lower().split("\n") if (w := words_of(line))]
 
 
 def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
