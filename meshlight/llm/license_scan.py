@@ -117,7 +117,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     found = docs.select("doc_id", F.inline(units)).join(F.broadcast(digests), "digest")
     return found.groupBy("doc_id").agg(
         F.array_join(F.array_sort(F.collect_set("spdx")), ",").alias("licenses"),
-        F.sum(1 - F.col("whole")).cast("long").alias("n_lines"),
+        F.count_distinct(F.when(F.col("whole") == 0, F.col("digest"))).alias("n_lines"),  # one for lines that repeat, in rows that repeat too
         (F.max("whole") == 1).alias("whole_text"),
     )
 
