@@ -17,12 +17,15 @@ and is discarded, the rest is verified.
 
 A bucket emits no pairs but a spanning forest: a search from one fingerprint
 compares it with those not yet reached, so a large group of near copies is
-done in a few sweeps. Buckets of more than ``most`` fingerprints are dealt
-again by blocks of the bits that they don't share yet, by the same argument,
-until they are small or no bits are left; no bucket is dropped or capped.
-
-Result: one row for each row of the table. Rows that repeat a doc_id keep
-their own fingerprint each.
+done in a few sweeps. Fingerprints that are not near each other are dealt
+again, by blocks of the bits that they don't share yet and by the same
+argument: in the task where a search takes too long, over tasks where a bucket
+has more than ``most`` fingerprints. No bucket is dropped or capped.
+
+Result: one row for each row of the table; what is known of a fingerprint
+comes back to its rows on (fingerprint, salt), so copies are spread over
+tasks. Rows that repeat a doc_id keep their own fingerprint each. Rows without
+a doc_id take part; a component of such rows only has no component_id.
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ from meshlight.operators.components import connected_components
 
 from .common import arrow_map, cut, texts_of
 
-SHINGLE, RADIUS, PIVOTS, BLOCKS, MOST = 4, 4, 16, 6, 500_000
+SHINGLE, RADIUS, PIVOTS, BLOCKS, MOST, SWEEPS, SALTS = 4, 4, 16, 6, 100_000, 64, 64
 UPPER = bytes(range(65, 91))
 TO_LOWER = bytes.maketrans(UPPER, UPPER.lower())
 #: The reference fingerprints: hashes of 1, 2, 3 ...
@@ -92,24 +95,68 @@ def distance_table(fps: np.ndarray) -> np.ndarray:
 
 
 def forest(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that span the components of one bucket's distinct fingerprints."""
+    """Edges that span the components of one bucket's distinct fingerprints.
+
+    The search is quick where most are near each other. Where it has done
+    ``SWEEPS`` comparisons for each fingerprint, what is left, and what was
+    reached but not compared yet, is dealt again by blocks of the bits in which
+    it differs.
+    """
     table, left = distance_table(fps), np.arange(len(fps))
     src, dst = [], []
+    queue: list[int] = []
+    work, most = 0, SWEEPS * max(len(fps), 1000)
     while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            at = queue.pop()
-            maybe = left[np.abs(table[left] - table[at]).max(axis=1) <= radius]
-            near = maybe[hamming(fps[maybe], fps[at]) <= radius]
-            if len(near):
-                src.append(np.full(len(near), at))
-                dst.append(near)
-                queue.extend(near)
-                left = np.setdiff1d(left, near, assume_unique=True)
+        if not queue:
+            queue, left = [left[0]], left[1:]
+        at = queue.pop()
+        work += len(left)
+        maybe = left[np.abs(table[left] - table[at]).max(axis=1) <= radius]
+        near = maybe[hamming(fps[maybe], fps[at]) <= radius]
+        if len(near):
+            src.append(np.full(len(near), at))
+            dst.append(near)
+            queue.extend(near.tolist())
+            left = np.setdiff1d(left, near, assume_unique=True)
+        if work > most:
+            rest = np.concatenate([np.array(queue, np.int64), left])
+            a, b = _dealt_again(fps[rest], radius)
+            src.append(rest[a])
+            dst.append(rest[b])
+            break
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(src), np.concatenate(dst)) if src else (none, none)
+
+
+def _dealt_again(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The edges of forest(), from smaller buckets of the same fingerprints."""
+    src, dst = [], []
+    differ = int(np.bitwise_or.reduce(fps ^ fps[0])) if len(fps) else 0
+    bits = [b for b in range(64) if differ >> b & 1]
+    if len(bits) < BLOCKS:
+        return _compared(fps, radius)
+    for mask, _ in deals(bits, radius):
+        key = fps & np.uint64(mask)
+        order = np.argsort(key, kind="stable")
+        bounds = np.flatnonzero(np.diff(key[order]) != 0) + 1
+        starts = np.concatenate([[0], bounds])
+        for s, n in zip(starts.tolist(), np.diff(np.append(starts, len(fps))).tolist()):
+            if n > 1:
+                own = order[s : s + n]
+                a, b = forest(fps[own], radius)
+                src.append(own[a])
+                dst.append(own[b])
     none = np.zeros(0, np.int64)
     return (np.concatenate(src), np.concatenate(dst)) if src else (none, none)
 
 
+def _compared(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All links of a few fingerprints, 32 at most."""
+    i, j = np.triu_indices(len(fps), 1)
+    near = hamming(fps[i], fps[j]) <= radius
+    return i[near], j[near]
+
+
 def bucket_edges(starts: np.ndarray, sizes: np.ndarray, fps: np.ndarray, radius: int, small: int = 24) -> tuple[np.ndarray, np.ndarray]:
     """Spanning edges of many buckets that lie one after another.
 
@@ -220,12 +267,14 @@ def _edges(rows: DataFrame, radius: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, most: int = MOST) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable)."""
-    prints = cut(fingerprints(docs, size))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    linked = connected_components(links(distinct, radius, most))
-    named = linked.join(distinct, linked["node"] == distinct["fp"]).select("fp", "component", "least")
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    prints = cut(fingerprints(docs, size).withColumn("salt", salt))
+    part = prints.groupBy("fp", "salt").agg(F.min("doc_id").alias("least"))
+    distinct = cut(part.groupBy("fp").agg(F.min("least").alias("least"), F.collect_list("salt").alias("salts")))
+    linked = cut(connected_components(links(distinct, radius, most)))
+    named = linked.select(F.col("node").alias("fp"), "component").join(distinct.select("fp", "least"), "fp")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = named.select("fp", "component").join(least, "component").select("fp", "component_id")
-    found = distinct.join(by_fp, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    found = distinct.join(by_fp, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.explode("salts").alias("salt"))
     shown = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return prints.join(found, "fp", "left").select("doc_id", shown.alias("fingerprint"), "component_id")
+    return prints.join(found, ["fp", "salt"], "left").select("doc_id", shown.alias("fingerprint"), "component_id")
