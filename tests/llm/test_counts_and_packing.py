@@ -46,6 +46,20 @@ def test_very_long_runs_are_encoded():
         assert encoder.ids(text, 1).tolist() == ids(text) + [1]
 
 
+def test_one_very_long_pre_token():
+    import tracemalloc
+
+    rng, counter = random.Random(3), PrefixCounter(PATH)
+    run = "".join(rng.choice("acgt") for _ in range(60_000))
+    tracemalloc.start()
+    assert counter.measure("x " + run, 1024)[0] == len(ids("x " + run))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20 and not any(len(w) > 64 for w in counter.whole)
+    short = run[:300]
+    assert counter.table(short) == [len(ids(short[:k])) for k in range(301)]
+
+
 def check_pieces(pieces, texts):
     """pieces: rows of pack(); texts: text by doc_id."""
     by_doc, by_sequence = defaultdict(list), defaultdict(list)

@@ -126,6 +126,38 @@ def test_unequal_texts_of_one_digest_are_told_apart(spark, monkeypatch):
     assert found == {1: (1, 2), 2: (2, 1), 3: (1, 2), 4: (4, 1)}
 
 
+def test_documents_without_or_with_shared_ids(spark):
+    """Those without an id come last; rows of one id go by the hash of their texts."""
+    texts = [(None, "north wind"), (None, "south"), (4, "alpha beta gamma"), (4, "delta"), (2, None), (None, "north wind"), (-3, "x" * 40)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    h = {r.t: r.h for r in spark.createDataFrame([(t or "",) for _, t in texts], "t string").selectExpr("t", "xxhash64(t) AS h").collect()}
+    order = sorted(((i, t or "") for i, t in texts), key=lambda r: (r[0] is None, r[0] or 0, h[r[1]]))
+    want = []
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1]):
+        n = len(t) // 4
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - n] + after[:n]).encode()).hexdigest()))
+    for per_range in (1, 2, 1000):
+        found = fingerprints.fingerprint_documents(frame.repartition(3), rows=per_range).collect()
+        assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in found), key=str) == sorted(want, key=str)
+        assert {(r.doc_id, r.n_chars): (r.group_id, r.copies) for r in found if r.n_chars == 10} == {(None, 10): (None, 2)}
+
+
+def test_forest_deals_again(monkeypatch):
+    rng = np.random.default_rng(4)
+    base = np.repeat(rng.integers(0, 1 << 63, 40, dtype=np.uint64), 8)
+    for _ in range(4):
+        base ^= np.uint64(1) << rng.integers(0, 64, len(base)).astype(np.uint64)
+    fps = np.unique(np.concatenate([base, rng.integers(0, 1 << 63, 300, dtype=np.uint64)]))
+    want = components([int(x) for x in fps])
+    for sweeps in (0, 1, 64):
+        monkeypatch.setattr(simhash, "SWEEPS", sweeps)
+        root = list(range(len(fps)))
+        for a, b in zip(*simhash.forest(fps)):
+            old, new = max(root[a], root[b]), min(root[a], root[b])
+            root = [new if r == old else r for r in root]
+        assert root == want
+
+
 def test_rows_that_repeat_a_doc_id(docs, rows):
     assert fingerprints.fingerprint_documents(docs).count() == len(rows) + 1
 
@@ -137,3 +169,16 @@ def test_licenses(spark, none):
     assert {i: r.licenses for i, r in found.items()} == {0: "MIT", 1: "Apache-2.0", 2: "MIT", 6: "CC-BY-NC-4.0,GPL-3.0"}
     assert found[2].whole_text and not found[1].whole_text and license_scan.scan_licenses(none).count() == 0
     assert len(license_scan.known()) > 200
+
+
+def test_licenses_like_their_sql(spark, tmp_path):
+    import duckdb
+
+    texts = [(1, "Released under MIT\nReleased under MIT\nLicensed under GPLv3"), (1, "Released under MIT\nLicensed under GPLv3"), (2, license_scan.TEXTS["ISC"]), (3, None), (4, "LICENSED UNDER THE MIT LICENCE!"), (2, "Released under MIT")]
+    frame = spark.createDataFrame([*texts, texts[0]], "doc_id long, text string").repartition(3)
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(license_scan.oracle()).fetchall()
+    found = [(r.doc_id, r.licenses, r.n_lines, r.whole_text) for r in license_scan.scan_licenses(frame).collect()]
+    assert sorted(found) == sorted(want) and (1, "GPL-3.0,MIT", 2, False) in found

@@ -57,6 +57,45 @@ def test_decontamination(spark, rows, docs, none):
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == docs.count()
 
 
+def stands_alone(item, text):
+    """Whether the item stands in the text at word borders."""
+    goes = lambda c: c >= 128 or chr(c).isalnum()
+    for k in range(len(text) - len(item) + 1):
+        end = k + len(item)
+        if text[k:end] == item and not (k and goes(text[k - 1]) and goes(item[0])) and not (end < len(text) and goes(text[end]) and goes(item[-1])):
+            return True
+    return False
+
+
+def test_items_of_any_length_keep_their_budget(spark):
+    """The whole query against full alignment, items from one byte on, with edits up to one above the budget."""
+    rng = random.Random(11)
+    letters = "abcdefgh  \u00e9"
+    items = [(k, "".join(rng.choice(letters) for _ in range(n))) for k, n in enumerate([*range(1, 13), 19, 20, 22, 29, 30, 31, 39, 40, 45, 60, 95])]
+    items += [(90, "2+2=4?"), (91, "the quick brown fox ju"), (92, "   "), (93, None), (94, "ten")]
+    docs = ["so 2+2=4? yes", "a the quack brown fix ju b", "a the quack brawn fix ju b", "often", "ten men", "", None]
+    for _, item in items:
+        t = list(item or "")
+        for edits in range(len(t) // 10 + 2):
+            docs.append(f"{''.join(rng.choice('xyz ') for _ in range(20))} {''.join(t)} {''.join(rng.choice('xyz') for _ in range(9))}")
+            if t:
+                t[rng.randrange(len(t))] = "w"
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    found = decontaminate.find_leaks(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = set()
+    for i, item in items:
+        own = decontaminate.folded(item or "")
+        k = len(own) // 10
+        for d, text in enumerate(docs):
+            whole = decontaminate.folded(text or "")
+            if own and (sellers(own, whole) <= k if k else stands_alone(own, whole)):
+                want.add((d, i))
+    assert {(r.doc_id, r.item_id) for r in found} == want and len(found) == len(want) > 60
+    for r in found:
+        region = decontaminate.folded(docs[r.doc_id])[r.start_byte : r.start_byte + r.length_bytes]
+        assert sellers(decontaminate.folded(dict(items)[r.item_id]), region) == r.edits
+
+
 def test_segments_are_all_maximal():
     def brute(s, low, high):
         best = None
@@ -95,7 +134,7 @@ def labelled(spark):
             text = " ".join(w)
         out.append((i, text, lang))
         marks.append((i, int(toxic)))
-    docs = spark.createDataFrame([*out, (1000, None, "en"), (1001, "", None), (1002, "123 !?", None)], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([*out, (1000, None, "en"), (1001, "", None), (1002, "123 !?", None), (1003, "½ ² Ⅷ", None)], "doc_id long, text string, lang string")
     return docs, spark.createDataFrame([*marks, (5000, 1), (5001, None), (None, 1)], "doc_id long, toxic int")
 
 
@@ -135,7 +174,7 @@ def test_toxicity(labelled, docs, none):
     found = toxicity.toxicity(own, labels).join(labels.filter("doc_id < 1000"), "doc_id", "left").collect()
     held = [r for r in found if r.held_out and r.toxic is not None]
     assert np.mean([r.predicted == r.toxic for r in held]) > 0.95 and all(0 <= r.score <= 1 for r in found)
-    assert all((r.score >= 0.7) == bool(r.predicted) for r in found) and len(found) == 243
+    assert all((r.score >= 0.7) == bool(r.predicted) for r in found) and len(found) == 244
     unlearned = toxicity.toxicity(docs, labels.limit(0)).collect()
     assert len(unlearned) == docs.count() and len({r.score for r in unlearned}) == 1
     assert toxicity.toxicity(none, labels).count() == 0

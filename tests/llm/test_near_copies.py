@@ -47,6 +47,23 @@ def test_stage_finds_edited_copies(spark):
     assert len(set(least)) < len(texts) - 30
 
 
+def test_large_buckets_lose_no_link(spark):
+    """Buckets above the bound: copies of one leader, a chain that leaves its reach, and unlike texts."""
+    rng = random.Random(9)
+    base = words(rng, 200)
+    texts = [edited(rng, base, rng.randint(1, 3)) for _ in range(40)]
+    chain = [base]
+    for _ in range(12):
+        chain.append(edited(rng, chain[-1], 2))
+    texts += chain + [words(rng, 80) for _ in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    least = brute_components(texts)
+    for most in (4, 4096):
+        of = {r.doc_id: r.component for r in near_copies.near_copies(docs, most).collect()}
+        first = {}
+        assert [first.setdefault(of[k], k) for k in range(len(texts))] == least
+
+
 def test_forest_spans_what_all_pairs_link():
     rng = random.Random(6)
     base = words(rng, 120)
