@@ -212,3 +212,89 @@ def test_extract(spark):
     found = {r.page_id: r.text for r in html_extract.extract(frame).collect()}
     assert found == {1: "One & two\n\nFirst line\n\nSecond bold", 2: "Own words here", 3: "Other words here", 4: "Kept\n\n<tag>", 5: "", 6: "", 7: "plain text"}
     assert html_extract.extract(frame).count() == 8 and html_extract.extract(frame.limit(0)).count() == 0
+
+
+def kept(page):
+    return "|".join(t for k, t in html_extract.blocks(page) if k == html_extract.MAIN), "|".join(t for k, t in html_extract.blocks(page) if k == html_extract.OPEN)
+
+
+@pytest.mark.parametrize(
+    "page, main, open_",
+    [
+        ('<div class="page has-sidebar"><article>Text</article></div>', "Text", ""),
+        ('<div class="sidebar-left"><article>Text</article></div>', "Text", ""),
+        ('<div class="menu"><p>Home<article>Text</article>', "Text", ""),
+        ('<nav>Home<article>Text</article>', "Text", ""),
+        ('<article>Text<div class="comment-list"><article class="comment">Hi</article></div></article>', "Text", ""),
+        ('<main>Text</main><aside><article>Teaser</article></aside>', "Text", ""),
+        ('<article><p class="social-history">One<h2 class="share-prices">Two</h2><div class="share-buttons">Go</div></article>', "One|Two", ""),
+        ('<article><header><h1>Head</h1></header><div class="article-header">Sub</div>Text</article>', "Head|Sub|Text", ""),
+        ('<article>a <math><mi>x</mi></math> <canvas>c</canvas> <object>o</object></article>', "a x c o", ""),
+        ('<div class="siteNav">Menu</div><div id="cookieBanner2">Yes</div><p>Open</p>', "", "Open"),
+        ('<p style="display: none">No</p><p aria-hidden="true">No</p><p hidden>No</p><p>Open', "", "Open"),
+    ],
+)
+def test_kinds_of_blocks(page, main, open_):
+    assert kept(page) == (main, open_)
+
+
+def brute_extract(pages):
+    """Each page against its neighbours in the order of paths, with a plain table for the common lines."""
+    def lcs(a, b):
+        n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                n[i][j] = n[i - 1][j - 1] + 1 if x == y else max(n[i - 1][j], n[i][j - 1])
+        return n[-1][-1]
+
+    found = {k: html_extract.blocks(h or "") for k, (_, _, h) in enumerate(pages)}
+    places = {k: html_extract.place(u) for k, (_, u, _) in enumerate(pages)}
+    out = []
+    for k, (page_id, _, _) in enumerate(pages):
+        own, (host, path) = found[k], places[k]
+        paths = sorted({p for h, p in places.values() if h == host})
+        at = paths.index(path)
+        near = [p for p in (paths[at - 1] if at else None, paths[at + 1] if at + 1 < len(paths) else None) if p] if host else []
+        near.sort(key=lambda p: -html_extract.prefix(p, path))  # stable: the one before stays first
+        gone = []
+        for other in near:
+            first = min((j for j in places if places[j] == (host, other)), key=lambda j: pages[j][0])
+            b = [t for _, t in found[first]]
+            shared = html_extract.common_lines([t for _, t in own], b)
+            assert len(shared) == lcs([t for _, t in own], b)
+            gone = [i for i in shared if own[i][0] == html_extract.OPEN]
+            if not gone or any(k == html_extract.MAIN or k == html_extract.OPEN and i not in gone for i, (k, _) in enumerate(own)):
+                break
+            gone = []
+        out.append((page_id, "\n\n".join(t for i, (k, t) in enumerate(own) if k == html_extract.MAIN or k == html_extract.OPEN and i not in gone)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 60])
+def test_extract_against_brute_force(spark, partitions):
+    rng = random.Random(4)
+    shared = [f"Shared line {k}" for k in range(6)]
+    pages = []
+    for k in range(70):
+        host = rng.choice(["a.org", "b.org", "hot.org", "hot.org"])
+        path = "/hot/path" if k % 3 == 0 else f"/{rng.choice('xyz')}/{rng.randint(0, 30)}"
+        lines = [rng.choice([rng.choice(shared), f"Own {rng.randint(0, 99)}"]) for _ in range(rng.randint(0, 7))]
+        body = "".join(f"<div>{t}</div>" for t in lines)
+        if rng.random() < 0.3:
+            body += f"<article>Article {k}</article>"
+        pages.append((k, f"http://{host}{path}{rng.choice(['', '', '?page=2', '#top'])}", f"<nav>Menu</nav>{body}"))
+    mirror = "<p>Same text</p><p>On two pages</p>"
+    pages += [(100, "http://m.org/1", mirror), (101, "http://m.org/2", mirror), (102, None, mirror), (103, "http://m.org/9", None), (104, "http://k.org/1", mirror), (105, "http://k.org/2", mirror), (106, "http://k.org/3", mirror + "<p>More</p>")]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(partitions)
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for small_mb in (8, -1):  # broadcast, and joined
+            got = html_extract.extract(frame, small_mb).collect()
+            assert sorted((r.page_id, r.text) for r in got) == brute_extract(pages)
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    text = {r.page_id: r.text for r in got}
+    assert text[100] == text[101] == text[104] == "Same text\n\nOn two pages" and sum(r.n_removed for r in got) > 20
