@@ -1,13 +1,13 @@
 """Operator 5, toxicity: maximum-scoring segments of token log-odds.
 
 Tokens are the words of a text in lower case. Their log-odds come from a tree
-of word beginnings: the chance that an occurrence of a beginning is in a toxic
-document has a Dirichlet prior of ``strength`` centred on the chance of the
-next shorter beginning, up to the share of all tokens. A beginning that does
-not differ from its parent by ``sure`` standard errors is left out, so a word
-is scored at its longest telling beginning, and an unseen word takes what its
-stem has taught. Log-odds are shifted by ``drift``, so that common text has a
-negative mean.
+of word beginnings: the chance that a document with a word of this beginning
+is toxic has a Dirichlet prior of ``strength`` centred on the chance of the
+next shorter beginning, up to the share of toxic documents. A beginning that
+does not differ from its parent by ``sure`` standard errors is left out, so a
+word is scored at its longest telling beginning, and an unseen word takes what
+its stem has taught. Log-odds are shifted by ``drift``, so that common text
+has a negative mean.
 
 A linear scan (Ruzzo and Tompa) finds all maximal-scoring segments of a text.
 Under chance the best score of n tokens follows an extreme-value law: lambda
@@ -19,9 +19,12 @@ normalised passage scores and of their number among its words.
 
 Learning uses the labelled rows that are not held out: at most ``per_class``
 toxic and as many clean ones twice over, those of the least XXH64 of doc_id
-(a bounded, documented sample), three quarters for the tree, the rest for the
-calibration. The model is a table of at most ``nodes`` beginnings. Scoring is
-one pass over all whole texts without a shuffle.
+(a bounded, documented sample), in ``folds`` parts. Each part is scanned with
+the tree of the others, so that all rows serve both the tree and the
+calibration; of the values of ``sure`` the one is taken whose calibration
+loses least, which is how the tree keeps to what a sample of this size can
+tell. The model is a table of at most ``nodes`` beginnings. Scoring is one
+pass over all whole texts without a shuffle.
 
 Null and empty texts, and all texts if nothing was labelled, get the score
 that no passage gives. Labels that are null count as none. Rows repeated with
@@ -43,7 +46,7 @@ from pyspark.sql import functions as F
 
 from .common import BoundedCache, arrow_map, crc_fold, cut, doc_text, texts_of
 
-PER_CLASS, NODES, DEPTH, STRENGTH, SUPPORT, SURE, DRIFT, ALPHA, CUT = 3000, 200_000, 12, 5.0, 4, 5.0, 0.5, 0.05, 0.7
+PER_CLASS, NODES, DEPTH, STRENGTH, SUPPORT, SURES, FOLDS, DRIFT, ALPHA, CUT = 3000, 200_000, 12, 5.0, 4, (2.5, 5.0, 8.0), 8, 1.0, 0.05, 0.7
 WORDS = re.compile(r"\w+").findall
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, passages int, best_passage int, passage_words int"
 
@@ -117,86 +120,92 @@ class Scorer:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """(text, toxic, part) of the bounded sample; part 3 is for the calibration."""
+    """(text, toxic, part) of the bounded sample, in FOLDS parts by a hash of doc_id."""
     own = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(crc_fold() != 1)
     order = F.xxhash64("doc_id")
     ids = None
     for toxic, n in ((1, per_class), (0, 2 * per_class)):
         part = own.filter(F.col("toxic") == toxic).orderBy(order, "doc_id").limit(n)
         ids = part if ids is None else ids.unionByName(part)
-    ids = ids.select("doc_id", "toxic", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4)).alias("part"))
+    ids = ids.select("doc_id", "toxic", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(FOLDS)).cast("int").alias("part"))
     return docs.select("doc_id", doc_text().alias("text")).join(F.broadcast(ids), "doc_id").select("text", "toxic", "part")
 
 
 def beginnings(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(piece, toxic, n, docs): occurrences of words that begin so, and documents with one, by label."""
+    """(piece, part, toxic, docs): documents of a part and label with a word that begins so."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts: tuple[Counter, Counter] = (Counter(), Counter())
-            within: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = Counter(w[:n] for w in WORDS(text.lower()) for n in range(1, min(len(w), depth) + 1))
-                counts[toxic == 1].update(own)
-                within[toxic == 1].update(own.keys())
-            for toxic, c in enumerate(counts):
-                if c:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(list(c), pa.string()), pa.array([toxic] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64()), pa.array([within[toxic][k] for k in c], pa.int64())],
-                        ["piece", "toxic", "n", "docs"],
-                    )
-
-    return arrow_map(rows.select("text", "toxic"), run, "piece string, toxic int, n long, docs long")
+            within: dict[tuple[int, int], Counter] = {}
+            for text, toxic, part in zip(*(b.column(k).to_pylist() for k in range(3))):
+                own = {w[:n] for w in set(WORDS(text.lower())) for n in range(1, min(len(w), depth) + 1)}
+                within.setdefault((part, int(toxic == 1)), Counter()).update(own)
+            for (part, toxic), c in within.items():
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([part] * len(c), pa.int32()), pa.array([toxic] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], ["piece", "part", "toxic", "docs"])
+
+    return arrow_map(rows.select("text", "toxic", "part"), run, "piece string, part int, toxic int, docs long")
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, nodes: int = NODES) -> Model:
-    rows = training_rows(docs, labels, per_class)
-    sizes = dict(rows.filter("part < 3").groupBy((F.col("toxic") == 1).cast("int").alias("t")).count().collect())
-    if not sizes.get(0) or not sizes.get(1):
-        return Model()
-    counted = beginnings(rows.filter("part < 3")).groupBy("piece").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    counted = cut(counted.filter((F.col("docs") >= SUPPORT) | (F.length("piece") == 1)))
-    t, n = counted.filter(F.length("piece") == 1).agg(F.sum("t"), F.sum("n")).first()  # every word has one first letter
-    if not t or t == n:
+    rows = cut(training_rows(docs, labels, per_class))
+    sizes = np.zeros((FOLDS, 2))
+    for part, toxic, n in rows.groupBy("part", (F.col("toxic") == 1).cast("int")).count().collect():
+        sizes[part, toxic] = n
+    if not sizes.sum(axis=0).all():
         return Model()
-    share = t / n
+    share = sizes[:, 1].sum() / sizes.sum()
+    own = [F.coalesce(F.sum(F.when((F.col("part") == k) & (F.col("toxic") == y), F.col("docs"))), F.lit(0)).alias(f"n{k}_{y}") for k in range(FOLDS) for y in (0, 1)]
+    counted = beginnings(rows).groupBy("piece").agg(*own, F.sum("docs").alias("n"), F.sum(F.col("docs") * F.col("toxic")).alias("t"))
     # beginnings that say most, by the normal deviate of their share; the shorter first, so that parents come along
     z = F.abs(F.col("t") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    top = counted.filter(z >= 1).orderBy(z.desc(), F.length("piece"), "piece").limit(nodes).collect()
-    model = Model(odds=tree({r[0]: (r[1], r[2]) for r in top}, share))
-    held = rows.filter("part = 3").select("text", "toxic")
-    return calibrate(model, _scans(held, model))
+    top = counted.filter((F.col("n") >= SUPPORT) & (z >= 1)).orderBy(z.desc(), F.length("piece"), "piece").limit(nodes).collect()
+    top.sort(key=lambda r: len(r[0]))
+    pieces = [r[0] for r in top]
+    counts = np.array([r[1 : 1 + 2 * FOLDS] for r in top], np.int64).reshape(-1, FOLDS, 2)  # [piece, part, label]
+
+    def model(sure: float, without: int | None = None) -> Model:
+        kept = [k for k in range(FOLDS) if k != without]
+        own, size = counts[:, kept].sum(axis=1), sizes[kept].sum(axis=0)
+        if not size.all():
+            return Model()
+        return Model(odds=tree(pieces, own[:, 1], own.sum(axis=1), size[1] / size.sum(), sure))
+
+    scans = _scans(rows, [[model(sure, k) for k in range(FOLDS)] for sure in SURES])
+    fitted = [calibrate(model(sure), [s[1:] for s in scans if s[0] == i]) for i, sure in enumerate(SURES)]
+    return min(fitted, key=lambda f: f[1])[0]
 
 
-def tree(counts: dict[str, tuple[int, int]], share: float, strength: float = STRENGTH) -> dict[str, float]:
-    """Shifted log-odds against the share of all, each beginning shrunk to its longest known parent."""
+def tree(pieces: list[str], toxic: np.ndarray, n: np.ndarray, share: float, sure: float, strength: float = STRENGTH) -> dict[str, float]:
+    """Shifted log-odds against the share of all, each beginning shrunk to its longest known parent; pieces go by length."""
     chance: dict[str, float] = {}
-    for piece in sorted(counts, key=len):
+    for piece, t, m in zip(pieces, toxic.tolist(), n.tolist()):
+        if m < SUPPORT * (FOLDS - 1) / FOLDS:
+            continue
         parent = next((chance[piece[:k]] for k in range(len(piece) - 1, 0, -1) if piece[:k] in chance), share)
-        t, n = counts[piece]
-        if abs(t - n * parent) >= SURE * math.sqrt(n * parent * (1 - parent)):
-            chance[piece] = (t + strength * parent) / (n + strength)
+        if abs(t - m * parent) >= sure * math.sqrt(m * parent * (1 - parent)):
+            chance[piece] = (t + strength * parent) / (m + strength)
     logit = lambda p: math.log(p / (1 - p))
     return {p: max(-1.0, min(8.0, logit(c) - logit(share))) - DRIFT for p, c in chance.items()}
 
 
-def _scans(rows: DataFrame, model: Model) -> list[tuple[int, int, list[float], list[float]]]:
-    """(toxic, words, segment scores, token scores by 0.25) of the calibration rows: a bounded sample."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+def _scans(rows: DataFrame, models: list[list[Model]]) -> list[tuple[int, int, int, list[float], list[float]]]:
+    """(choice, toxic, words, segment scores, token scores by 0.25) of the rows, a bounded sample: each under the model of its part, for each choice."""
+    shared = rows.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorers = [[Scorer(m) for m in own] for own in shared.value]
         for b in batches:
-            texts = b.column(0).to_pylist()
-            scans = [scorer.scan(t) for t in texts]
-            own = [np.fromiter(map(scorer.known.__getitem__, WORDS(t.lower())), np.float64) for t in texts]
-            hist = [np.bincount(np.round((x + 2) * 4).astype(int), minlength=48).tolist() for x in own]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(1).cast(pa.int32()), pa.array([n for n, _ in scans], pa.int64()), pa.array([[x for *_, x in f] for _, f in scans], pa.list_(pa.float64())), pa.array(hist, pa.list_(pa.float64()))],
-                ["toxic", "n", "s", "h"],
-            )
+            out = []
+            for text, toxic, part in zip(*(b.column(k).to_pylist() for k in range(3))):
+                words = WORDS(text.lower())
+                for i, own in enumerate(scorers):
+                    scores = np.fromiter(map(own[part].known.__getitem__, words), np.float64, len(words))
+                    out.append((i, int(toxic == 1), len(words), [x for *_, x in segments(scores)], np.bincount(np.round((scores + 2) * 4).astype(int), minlength=48).tolist()))
+            if out:
+                types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["choice", "toxic", "n", "s", "h"])
 
-    return [tuple(r) for r in arrow_map(rows, run, "toxic int, n long, s array<double>, h array<double>").collect()]
+    return [tuple(r) for r in arrow_map(rows.select("text", "toxic", "part"), run, "choice int, toxic int, n long, s array<double>, h array<double>").collect()]
 
 
 def karlin(hist: np.ndarray) -> float:
@@ -211,8 +220,8 @@ def karlin(hist: np.ndarray) -> float:
     return float(min(max(low, 0.1), 5.0))
 
 
-def calibrate(model: Model, scans: list[tuple]) -> Model:
-    """Fits the law of chance on clean documents, then the logistic weights on all."""
+def calibrate(model: Model, scans: list[tuple]) -> tuple[Model, float]:
+    """Fits the law of chance on clean documents, then the logistic weights on all; the model and its mean loss."""
     clean = [(n, max(s, default=0.0)) for t, n, s, _ in scans if t != 1 and n]
     if len(clean) > 20:
         model.lam = karlin(np.sum([h for t, n, _, h in scans if t != 1 and n], axis=0))
@@ -221,9 +230,12 @@ def calibrate(model: Model, scans: list[tuple]) -> Model:
     scorer = Scorer(model)
     x = np.array([[*scorer.features(max(n, 1), [(0, 0, v) for v in s])[:3], 1.0] for _, n, s, _ in scans])
     y = np.array([t == 1 for t, *_ in scans], float)
-    if len(x) and 0 < y.sum() < len(y):
-        model.weights = tuple(map(float, logistic(x, y)))
-    return model
+    if not len(x) or not 0 < y.sum() < len(y):
+        return model, float("inf")
+    weights = logistic(x, y)
+    model.weights = tuple(map(float, weights))
+    told = x @ weights
+    return model, float(np.mean(np.logaddexp(0.0, np.where(y == 1, -told, told))))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 40) -> np.ndarray:
