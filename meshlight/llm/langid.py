@@ -10,8 +10,9 @@ switches languages; a document's language is the label with the largest mean
 over all its words, and that mean is the score.
 
 Learning uses text and non-null lang of documents that are not held out: at
-most ``per_lang`` of each language (bounded and documented), by hash of
-doc_id. Emissions are first fitted to the documents' labels; words that a
+most ``per_lang`` of each language, by hash of doc_id, and whole texts of at
+most ``CHARS`` characters of all languages together, shared equally, beside
+one document of each (bounded and documented). Emissions are first fitted to the documents' labels; words that a
 sticky chain then gives clearly to another language are relabelled, so that
 the transitions are learned from switched text as well; then emissions and
 transitions are fitted together by the gradient of the field's likelihood.
@@ -34,8 +35,9 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, crc_fold, texts_of
+from .common import arrow_map, crc_fold, cut, texts_of
 
+CHARS = 40_000_000
 PER_LANG, BUCKETS_LOG2, LEXICON, CHUNK, CACHE, UNKNOWN = 150, 16, 2000, 200_000, 250_000, "und"
 RUNS, LETTERS = re.compile(r"[^\W\d_]+").findall, regex.compile(r"\p{L}+").findall
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, words long, switches long"
@@ -206,12 +208,14 @@ def fit(texts: list[tuple[str, str]], rounds: int = 30, field_rounds: int = 12,
 
 def training_rows(docs: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str, str]]:
     """The bounded sample: (text, lang) of at most ``per_lang`` documents of each language that are not held out."""
-    ids = docs.filter("lang is not null and doc_id is not null and text is not null").filter(crc_fold() != 1).select("doc_id", "lang")
-    counts = ids.groupBy("lang").count()
+    ids = docs.filter("lang is not null and doc_id is not null and text is not null").filter(crc_fold() != 1).select("doc_id", "lang", F.length("text").alias("_chars"))
+    counts = cut(ids.groupBy("lang").count())
+    share = CHARS // max(1, counts.count())
     order = F.xxhash64("doc_id")
     few = ids.join(F.broadcast(counts), "lang").filter(F.pmod(order, F.col("count")) < 4 * per_lang)  # about so many of each language
     best = Window.partitionBy("lang").orderBy(order, "doc_id")
-    chosen = few.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= per_lang).select("doc_id").distinct()
+    ranked = few.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= per_lang)
+    chosen = ranked.withColumn("_sum", F.sum("_chars").over(best)).filter((F.col("_sum") <= share) | (F.col("_rank") == 1)).select("doc_id").distinct()
     rows = docs.filter("lang is not null and text is not null").select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").collect()
     return [(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.lang, r.doc_id, r.text))]
 
