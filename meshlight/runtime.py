@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FOLDERS: set[str] = set()
 REPO_ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -33,10 +36,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return own
 
 
+def session_folder(spark: SparkSession) -> str:
+    """This application's own folder for intermediate tables, removed when the driver ends."""
+    sc = spark.sparkContext
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/meshlight-{sc.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_remove, spark, folder)
+    return folder
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the session may have ended before; nothing is left to do then
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes ``df`` as a table in the shared folder and reads it again, which cuts its lineage.
+
+    Unlike a checkpointed plan, which carries the estimated size of the plan
+    before on (a product over all joins of a loop), a table has its real size.
+    """
+    path = f"{session_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ensure_importable(spark: SparkSession) -> None:
