@@ -85,6 +85,17 @@ class Detector(Protocol):
     def detect(self, graph: Graph) -> CommunityResult: ...
 
 
+class ArrayDetector(Protocol):
+    """What a local detector may offer beside detect(): it is then run inside the tasks, on many small graphs at once.
+
+    Nodes are ordered by (graph, id); ``group`` numbers the graphs from 0, src
+    and dst are positions of nodes. The result labels each node, with numbers
+    from 0 on in each graph.
+    """
+
+    def detect_arrays(self, ids: np.ndarray, group: np.ndarray, src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> np.ndarray: ...
+
+
 @dataclass(frozen=True)
 class Louvain:
     options: LouvainOptions = LouvainOptions()
@@ -93,12 +104,15 @@ class Louvain:
         o = self.options
         return _detect(graph, moves_of(o), o.initial_partition, o.local_threshold)
 
+    def fixed(self) -> Louvain:
+        """With a seed of its own, so that a task that is done again finds the same."""
+        return Louvain(replace(self.options, seed=moves_of(self.options).seed))
+
     def warm(self, prior: DataFrame) -> Louvain:
         return Louvain(replace(self.options, initial_partition=prior))
 
-    def small(self) -> kernel.MoveOptions:
-        """The same settings for graphs that a task handles."""
-        return moves_of(self.options)
+    def detect_arrays(self, ids: np.ndarray, group: np.ndarray, src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        return kernel.detect(ids, group, src, dst, weight, moves_of(self.options)).community
 
 
 @dataclass(frozen=True)
@@ -118,11 +132,14 @@ class Leiden:
                 best = found
         return best
 
+    def fixed(self) -> Leiden:
+        return Leiden(replace(self.options, seed=moves_of(self.options).seed))
+
     def warm(self, prior: DataFrame) -> Leiden:
         return Leiden(replace(self.options, initial_partition=prior))
 
-    def small(self) -> kernel.MoveOptions:
-        return moves_of(self.options)
+    def detect_arrays(self, ids: np.ndarray, group: np.ndarray, src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        return kernel.detect(ids, group, src, dst, weight, moves_of(self.options)).community
 
 
 def moves_of(o: LouvainOptions | LeidenOptions) -> kernel.MoveOptions:
@@ -146,7 +163,7 @@ def _detect(graph: Graph, options: kernel.MoveOptions, initial: DataFrame | None
     if not total:
         own = dense_ids(nodes, "id", "community").select(F.col("id").alias("node"), "community")
         return CommunityResult(own, 0.0, 1, 0)
-    merged = Graph(graph.vertices, edges)
+    merged = Graph(graph.vertices, edges, simple=True)
     start = warm_start(nodes, initial) if initial is not None else None
     if rows <= local_threshold and nodes.count() <= 2 * local_threshold + 1000:
         return _on_driver(merged, options, start)
@@ -232,5 +249,5 @@ def _distributed(graph: Graph, options: kernel.MoveOptions, start: DataFrame | N
             break
         mapping = found
         merged = cut(contract(level.edges, part, options.self_loops))
-        level = Graph(part.select(F.col("community").alias("id")).distinct().withColumn("weight", F.lit(1.0)), merged)
+        level = Graph(part.select(F.col("community").alias("id")).distinct().withColumn("weight", F.lit(1.0)), merged, simple=True)
     return CommunityResult(normalize(best), best_q, passes, moves)

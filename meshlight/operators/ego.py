@@ -5,7 +5,11 @@ to the other, so a wedge starts at its lowest corner and hubs start few; each
 triangle is found once and given to its three egos. Ego nets without an edge
 are settled in SQL; the others are partitioned by ego and detected many at a
 time on arrays. Ego nets of more than ``most`` edges run one by one through
-the distributed detector, so that no task holds an unbounded net.
+the distributed detector, so that no task holds an unbounded net; so do all
+nets of a detector that offers no detect_arrays().
+
+Where only some egos are asked for, only edges at these and among their
+neighbours take part in the search for triangles.
 """
 
 from __future__ import annotations
@@ -21,8 +25,7 @@ from pyspark.sql import functions as F
 from meshlight.errors import DirectedNotSupported, EmptyGraph
 from meshlight.runtime import cut, ensure_importable
 
-from . import kernel
-from .detect import Detector, Louvain, LouvainOptions
+from .detect import ArrayDetector, Detector, Louvain, LouvainOptions
 from .graph import Graph
 from .partition import dense_ids
 
@@ -86,7 +89,7 @@ def guard(graph: Graph) -> None:
 
 def finish(people: DataFrame, egos: DataFrame, edges: DataFrame, detector: Detector, prior: DataFrame | None = None) -> OverlappingResult:
     """Global detection on the persona graph and the memberships it gives."""
-    graph = Graph(people.select(F.col("persona_id").alias("id"), F.lit(1.0).alias("weight")), edges)
+    graph = Graph(people.select(F.col("persona_id").alias("id"), F.lit(1.0).alias("weight")), edges, simple=True)
     found = (detector.warm(prior) if prior is not None and hasattr(detector, "warm") else detector).detect(graph)
     parts = cut(found.partition.select(F.col("node").alias("persona_id"), "community"))
     return OverlappingResult(memberships(people, parts), OverlapState(people, egos, parts, edges))
@@ -95,6 +98,8 @@ def finish(people: DataFrame, egos: DataFrame, edges: DataFrame, detector: Detec
 def ego_net_edges(graph: Graph, egos: DataFrame | None = None) -> DataFrame:
     """(ego, src, dst, weight): edges among the neighbours of each ego (ego), of all if not given; self-loops take no part."""
     plain = graph.merged.filter("src <> dst")
+    if egos is not None:
+        plain = near_edges(plain, egos)
     degree = plain.select(F.explode(F.array("src", "dst")).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("d"))
     a, b = degree.select(F.col("n").alias("src"), F.col("d").alias("ds")), degree.select(F.col("n").alias("dst"), F.col("d").alias("dd"))
     ends = plain.join(a, "src").join(b, "dst")
@@ -110,6 +115,17 @@ def ego_net_edges(graph: Graph, egos: DataFrame | None = None) -> DataFrame:
     return nets if egos is None else nets.join(egos.select("ego"), "ego", "left_semi")
 
 
+def near_edges(plain: DataFrame, egos: DataFrame) -> DataFrame:
+    """The edges at the egos and among neighbours of egos."""
+    own = egos.select("ego").distinct()
+    ends = lambda ids, name: ids.select(F.col("ego").alias(name), F.lit(True).alias(f"_{name}"))
+    marked = plain.join(ends(own, "src"), "src", "left").join(ends(own, "dst"), "dst", "left")
+    spokes = cut(marked.filter("_src or _dst").select("src", "dst", "weight"))
+    around = spokes.select(F.explode(F.array("src", "dst")).alias("ego")).distinct()
+    rims = plain.join(around.select(F.col("ego").alias("src")), "src", "left_semi").join(around.select(F.col("ego").alias("dst")), "dst", "left_semi")
+    return cut(spokes.unionByName(rims.select("src", "dst", "weight")).distinct())
+
+
 def ego_members(graph: Graph, egos: DataFrame | None = None) -> DataFrame:
     """(ego, node): each ego's neighbours, itself left out."""
     m = graph.adjacency.filter("src <> dst").select(F.col("src").alias("ego"), F.col("dst").alias("node"))
@@ -122,13 +138,13 @@ def ego_partition(graph: Graph, local: Detector, egos: DataFrame | None = None,
     sizes = cut(nets.groupBy("ego").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")))
     bare = members.join(sizes.filter("w > 0"), "ego", "left_anti")
     alone = bare.withColumn("local_comm", (F.row_number().over(Window.partitionBy("ego").orderBy("node")) - 1).cast("long"))
-    if not hasattr(local, "small"):  # a detector of the user's own: one net at a time
-        small, large = sizes.filter("false"), sizes.filter("w > 0")
-    else:
-        small, large = sizes.filter((F.col("w") > 0) & (F.col("n") <= most)), sizes.filter((F.col("w") > 0) & (F.col("n") > most))
+    local = local.fixed() if hasattr(local, "fixed") else local
+    quick = hasattr(local, "detect_arrays")
+    small = sizes.filter((F.col("w") > 0) & (F.col("n") <= most)) if quick else sizes.filter("false")
+    large = sizes.filter((F.col("w") > 0) & (F.col("n") > most)) if quick else sizes.filter("w > 0")
     found = alone
-    if hasattr(local, "small"):
-        found = found.unionByName(_many(members.join(small, "ego", "left_semi"), nets.join(small, "ego", "left_semi"), local.small()))
+    if quick:
+        found = found.unionByName(_many(members.join(small, "ego", "left_semi"), nets.join(small, "ego", "left_semi"), local))
     for row in large.select("ego").toLocalIterator():
         own = Graph(members.filter(F.col("ego") == row[0]).select(F.col("node").alias("id"), F.lit(1.0).alias("weight")), nets.filter(F.col("ego") == row[0]).select("src", "dst", "weight"))
         part = local.detect(own).partition
@@ -136,8 +152,8 @@ def ego_partition(graph: Graph, local: Detector, egos: DataFrame | None = None,
     return found
 
 
-def _many(members: DataFrame, nets: DataFrame, options: kernel.MoveOptions) -> DataFrame:
-    """The kernel on all ego nets of a batch at once; a net lies whole in its partition."""
+def _many(members: DataFrame, nets: DataFrame, local: ArrayDetector) -> DataFrame:
+    """The detector on all ego nets of a batch at once; a net lies whole in its partition."""
     rows = members.select("ego", F.col("node").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(0.0).alias("weight")).unionByName(nets.select("ego", "src", "dst", "weight"))
     # dealt by a hash of its own: a repartition that a union seems to satisfy is left out of the plan, and adaptive execution may then part a net
     dealt = rows.withColumn("_deal", F.xxhash64("ego")).repartition("_deal").sortWithinPartitions("ego").drop("_deal")
@@ -166,8 +182,8 @@ def _many(members: DataFrame, nets: DataFrame, options: kernel.MoveOptions) -> D
         names, group = np.unique(m_ego, return_inverse=True)
         place = {(e, n): i for i, (e, n) in enumerate(zip(m_ego.tolist(), m_node.tolist()))}
         find = lambda nodes: np.array([place[k] for k in zip(ego[edge].tolist(), nodes[edge].tolist())], np.int64)
-        found = kernel.detect(m_node, group, find(src), find(dst), w[edge], options)
-        return pa.RecordBatch.from_arrays([pa.array(m_ego), pa.array(m_node), pa.array(found.community.astype(np.int64))], ["ego", "node", "local_comm"])
+        labels = local.detect_arrays(m_node, group, find(src), find(dst), w[edge])
+        return pa.RecordBatch.from_arrays([pa.array(m_ego), pa.array(m_node), pa.array(np.asarray(labels, np.int64))], ["ego", "node", "local_comm"])
 
     return dealt.mapInArrow(run, EGO_PARTITION)
 
@@ -183,14 +199,19 @@ def personas(nodes: DataFrame, egos: DataFrame, above: int | None = None) -> Dat
     return dense_ids(every, ["node", "local_comm"], "persona_id", top + 1)
 
 
-def persona_edges(graph: Graph, people: DataFrame, egos: DataFrame) -> DataFrame:
-    """(src, dst, weight): each edge u-v between u's persona for v's side and v's persona for u's side.
+def persona_edges(graph: Graph, people: DataFrame, egos: DataFrame, at: DataFrame | None = None) -> DataFrame:
+    """(src, dst, weight), of the edges at the nodes (ego) of ``at`` only if it is given: each edge u-v between u's persona for v's side and v's persona for u's side.
 
     A self-loop stays at its node's persona of local community 0. Weights are kept in sum.
     """
     side = lambda ego, node, name: egos.select(F.col("ego").alias(ego), F.col("node").alias(node), F.col("local_comm").alias(name))
     zero = F.lit(0).cast("long")
-    e = graph.merged.withColumnsRenamed({"src": "u", "dst": "v"}).join(side("u", "v", "_cu"), ["u", "v"], "left").join(side("v", "u", "_cv"), ["u", "v"], "left")
+    plain = graph.merged
+    if at is not None:
+        ids = at.select("ego").distinct()
+        marked = plain.join(ids.select(F.col("ego").alias("src"), F.lit(True).alias("_s")), "src", "left").join(ids.select(F.col("ego").alias("dst"), F.lit(True).alias("_d")), "dst", "left")
+        plain = marked.filter("_s or _d").select("src", "dst", "weight")
+    e = plain.withColumnsRenamed({"src": "u", "dst": "v"}).join(side("u", "v", "_cu"), ["u", "v"], "left").join(side("v", "u", "_cv"), ["u", "v"], "left")
     e = e.select("u", "v", "weight", F.coalesce("_cu", zero).alias("_cu"), F.coalesce("_cv", zero).alias("_cv"))
     a = people.select(F.col("node").alias("u"), F.col("local_comm").alias("_cu"), F.col("persona_id").alias("_pu"))
     b = people.select(F.col("node").alias("v"), F.col("local_comm").alias("_cv"), F.col("persona_id").alias("_pv"))

@@ -21,11 +21,16 @@ PARTITION, MEMBERSHIPS = "node long, community long", "node long, community long
 
 @dataclass(frozen=True)
 class Graph:
-    """``edges`` keeps parallel rows as given (edge_count needs them); ``merged`` sums them."""
+    """``edges`` keeps parallel rows as given (edge_count needs them); ``merged`` sums them.
+
+    ``simple`` says that no pair of nodes has more than one row, so that
+    nothing is left to sum.
+    """
 
     vertices: DataFrame
     edges: DataFrame
     directed: bool = False
+    simple: bool = False
 
     @property
     def spark(self) -> SparkSession:
@@ -40,6 +45,8 @@ class Graph:
     @cached_property
     def merged(self) -> DataFrame:
         """One row for each pair of nodes: parallel edges add up."""
+        if self.simple:
+            return self.edges.select("src", "dst", "weight")
         return self.edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
     @cached_property
@@ -47,8 +54,8 @@ class Graph:
         """(src, dst, weight): an undirected edge from both ends, a self-loop once."""
         if self.directed:
             return self.merged
-        turned = self.merged.filter("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-        return self.merged.unionByName(turned)
+        one, turned = F.struct("src", "dst", "weight"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+        return self.merged.select(F.inline(F.when(F.col("src") == F.col("dst"), F.array(one)).otherwise(F.array(one, turned))))
 
     def neighbors(self, node: int) -> DataFrame:
         """(to, weight) of a node's edges; no rows for unknown nodes. The filter reaches the edge scan."""
@@ -86,7 +93,7 @@ class Graph:
     def add_edges(self, edges: DataFrame) -> Graph:
         """edges (src, dst, weight); missing ends are added with weight 1."""
         new = canonical(edges, self.directed)
-        return build(self.edges.unionByName(new), self.vertices, self.directed, checked=True)
+        return build(self.edges.unionByName(new), self.vertices, self.directed, checked=True)  # may hold parallel rows from here on
 
     def remove_edges_for(self, nodes: DataFrame) -> Graph:
         """Drops all edges that touch one of the nodes (id); the nodes stay."""

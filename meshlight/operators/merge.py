@@ -1,9 +1,12 @@
 """Merging of small communities after detection.
 
 The rule is sequential: candidates go by (size, id) and each sees what earlier
-ones did. It needs only the graph of communities that touch a candidate, which
-is contracted in Spark and walked on the driver while its rows stay within
-``most`` (checked); beyond that the merge is refused rather than cut short.
+ones did. It needs only the graph of communities, contracted in Spark. While
+that graph has at most ``local_rows`` rows (counted), it is walked on the
+driver. Beyond that candidates merge in rounds of joins: a candidate takes its
+turn when no earlier one is left that touches it, or touches what its gain
+depends on. Candidates that don't touch each other neither read nor write the
+same sums, so the rounds give what the walk gives.
 """
 
 from __future__ import annotations
@@ -14,15 +17,17 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlight.errors import GraphError, InvalidMergeOptions, PartitionGraphMismatch
+from meshlight.errors import InvalidMergeOptions, PartitionGraphMismatch
 from meshlight.functions.metrics import modularity
+from meshlight.runtime import cut
 
 from .detect import CommunityResult
 from .ego import OverlappingResult
 from .graph import Graph
 from .partition import contract, normalize
+from .skew import spread_join
 
-MOST_ROWS = 5_000_000
+LOCAL_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -56,41 +61,50 @@ def best_target(links: dict[int, float], strength: dict[int, float], own: int, t
     return min(gain, key=lambda c: (-gain[c], c))
 
 
-def merge_communities(graph: Graph, result: CommunityResult, options: MergeOptions) -> CommunityResult:
+def merge_communities(graph: Graph, result: CommunityResult, options: MergeOptions, local_rows: int = LOCAL_ROWS) -> CommunityResult:
     """Merges small communities into neighbours; those without an edge outside stay. Passes and moves are 0 in the result."""
     options.check()
-    part = result.partition.select("node", "community")
+    part = cut(result.partition.select("node", "community"))
     ids = graph.vertices.select(F.col("id").alias("node"))
     if not part.join(ids, "node", "left_anti").isEmpty():
         raise PartitionGraphMismatch("the partition has nodes that the graph lacks")
     threshold = options.threshold(part.count())
-    sizes = dict(_bounded(part.groupBy("community").agg(F.count(F.lit(1)))))
-    small = sorted((n, c) for c, n in sizes.items() if n < threshold)
-    if not small:
+    small = candidates(part, threshold)
+    if small.isEmpty():
         return CommunityResult(normalize(part), modularity(graph, part).first()[0], 0, 0)
-    links: dict[int, dict[int, float]] = {}
-    for a, b, w in _bounded(contract(graph.merged, part).filter("src <> dst")):
-        links.setdefault(a, {})[b] = w
-        links.setdefault(b, {})[a] = w
-    strength = dict(_bounded(graph.community_strength(part)))
+    links = cut(contract(graph.merged, part).filter("src <> dst"))
+    strength = part.groupBy("community").agg(F.count(F.lit(1)).alias("size")).join(graph.community_strength(part), "community", "left")
+    sums = cut(strength.select("community", "size", F.coalesce("strength", F.lit(0.0)).alias("strength")))
     total = graph.total_weight().first()[0]
+    walk = _walk if links.count() + sums.count() <= local_rows else _rounds
+    moved = walk(links, sums, threshold, total, options)
+    merged = cut(normalize(part.join(moved, "community", "left").select("node", F.coalesce("_to", "community").alias("community"))))
+    return CommunityResult(merged, modularity(graph, merged).first()[0], 0, 0)
+
+
+def _walk(links: DataFrame, sums: DataFrame, threshold: int, total: float, options: MergeOptions) -> DataFrame:
+    """(community, _to) of the communities that merged: the rule as it stands, on a graph of bounded size."""
+    near: dict[int, dict[int, float]] = {}
+    for a, b, w in links.select("src", "dst", "weight").collect():
+        near.setdefault(a, {})[b] = w
+        near.setdefault(b, {})[a] = w
+    sizes, strength = {}, {}
+    for c, n, k in sums.select("community", "size", "strength").collect():
+        sizes[c], strength[c] = n, k
     into: dict[int, int] = {}
-    for n, c in small:
-        if c in into or sizes[c] >= threshold or not links.get(c):
+    for _, c in sorted((n, c) for c, n in sizes.items() if n < threshold):
+        if sizes[c] >= threshold or not near.get(c):
             continue
-        target = best_target(links[c], strength, c, total, options)
+        target = best_target(near[c], strength, c, total, options)
         into[c] = target
-        sizes[target] += sizes.pop(c)
-        strength[target] = strength.get(target, 0.0) + strength.pop(c, 0.0)
-        for other, w in links.pop(c).items():
-            links[other].pop(c, None)
+        sizes[target] += sizes[c]
+        strength[target] += strength[c]
+        for other, w in near.pop(c).items():
+            near[other].pop(c, None)
             if other != target:
-                links[target][other] = links[target].get(other, 0.0) + w
-                links[other][target] = links[target][other]
-    rows = [(c, _last(into, c)) for c in into]
-    moved = part.sparkSession.createDataFrame(rows, "community long, _to long")
-    merged = normalize(part.join(moved, "community", "left").select("node", F.coalesce("_to", "community").alias("community")))
-    return CommunityResult(merged, modularity(graph, merged).first()[0], 0, 0)
+                near[target][other] = near[target].get(other, 0.0) + w
+                near[other][target] = near[target][other]
+    return links.sparkSession.createDataFrame([(c, _last(into, c)) for c in into], "community long, _to long")
 
 
 def _last(into: dict[int, int], c: int) -> int:
@@ -99,11 +113,58 @@ def _last(into: dict[int, int], c: int) -> int:
     return c
 
 
-def _bounded(rows: DataFrame, most: int = MOST_ROWS) -> list[tuple]:
-    found = [tuple(r) for r in rows.limit(most + 1).collect()]
-    if len(found) > most:
-        raise GraphError(f"more than {most} rows of the community graph; raise min_size in steps or merge by parts")
-    return found
+def both_ways(links: DataFrame) -> DataFrame:
+    return links.select("src", "dst", "weight").unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+
+
+def targets(both: DataFrame, ready: DataFrame, sums: DataFrame, total: float, options: MergeOptions) -> DataFrame:
+    """(community, _to): what each community of ``ready`` would join; both (src, dst, weight) are the links from both ends."""
+    own = both.join(ready.select(F.col("community").alias("src")), "src", "left_semi")
+    gain = F.col("weight")
+    if options.strategy != "connectivity" and total:
+        of = lambda end, name: sums.select(F.col("community").alias(end), F.col("strength").alias(name))
+        own = spread_join(own.join(of("src", "s"), "src"), of("dst", "t"), ["dst"], F.col("src"))
+        gain = 2 * F.col("weight") / total - 2 * F.lit(options.resolution or 1.0) * F.col("s") * F.col("t") / (total * total)
+    best = own.groupBy("src").agg(F.max(F.struct(gain.alias("gain"), (-F.col("dst")).alias("low"))).alias("b"))
+    return best.select(F.col("src").alias("community"), (-F.col("b.low")).alias("_to"))
+
+
+def _least_near(links: DataFrame, turns: DataFrame) -> DataFrame:
+    """(community, turn): the least turn of each community and those linked to it; links stand from both ends."""
+    seen = spread_join(links.select("src", "dst"), turns.withColumnRenamed("community", "dst"), ["dst"], F.col("src")).select(F.col("src").alias("community"), "turn")
+    return seen.unionByName(turns.select("community", "turn")).groupBy("community").agg(F.min("turn").alias("turn"))
+
+
+def _ready(waiting: DataFrame, links: DataFrame, far: bool) -> DataFrame:
+    """(community): candidates whose turn it is. ``far`` looks at neighbours of neighbours too, whose sums a gain may share."""
+    least = _least_near(links, waiting.select("community", "turn"))
+    least = _least_near(links, least) if far else least
+    return waiting.join(least.withColumnRenamed("turn", "first"), "community").filter(F.col("turn") == F.col("first")).select("community")
+
+
+def _renamed(moved: DataFrame, name: str) -> DataFrame:
+    return moved.select(F.col("community").alias(name), F.col("_to").alias(f"_{name}"))
+
+
+def _rounds(links: DataFrame, sums: DataFrame, threshold: int, total: float, options: MergeOptions) -> DataFrame:
+    """The same as _walk, in rounds; names (community, _to) follow a community through all merges."""
+    turn = F.struct("size", F.col("community").alias("id"))
+    waiting = cut(sums.filter(F.col("size") < threshold).select("community", turn.alias("turn")))
+    names = sums.select("community", F.col("community").alias("_to"))
+    both = cut(both_ways(links))
+    while True:
+        open_ = waiting.join(sums.filter(F.col("size") < threshold).select("community"), "community", "left_semi")
+        waiting = cut(open_.join(both.select(F.col("src").alias("community")).distinct(), "community", "left_semi"))
+        if waiting.isEmpty():
+            return names.filter("community <> _to")
+        ready = cut(_ready(waiting, both, options.strategy == "modularity"))
+        moved = cut(targets(both, ready, sums, total, options))
+        waiting = waiting.join(moved, "community", "left_anti")
+        names = cut(names.join(moved.select(F.col("community").alias("_to"), F.col("_to").alias("_now")), "_to", "left").select("community", F.coalesce("_now", "_to").alias("_to")))
+        sums = cut(sums.join(moved, "community", "left").groupBy(F.coalesce("_to", "community").alias("community")).agg(F.sum("size").alias("size"), F.sum("strength").alias("strength")))
+        near = both.join(_renamed(moved, "src"), "src", "left").join(_renamed(moved, "dst"), "dst", "left")
+        near = near.select(F.coalesce("_src", "src").alias("src"), F.coalesce("_dst", "dst").alias("dst"), "weight").filter("src <> dst")
+        both = cut(near.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
 
 
 def overlap_counts(members: DataFrame, small: DataFrame) -> DataFrame:
@@ -113,36 +174,43 @@ def overlap_counts(members: DataFrame, small: DataFrame) -> DataFrame:
     return a.join(b, "node").filter("community <> other").groupBy("community", "other").agg(F.count(F.lit(1)).alias("shared"))
 
 
-def merge_overlapping(graph: Graph, result: OverlappingResult, options: MergeOptions) -> OverlappingResult:
+def merge_overlapping(graph: Graph, result: OverlappingResult, options: MergeOptions, local_rows: int = LOCAL_ROWS) -> OverlappingResult:
     """Merges small communities: most shared members, ties to the lowest id, else most edge weight, else not at all.
 
     Sizes are those from before, growth does not save a candidate. The state to update from is dropped.
     """
     options.check()
-    members = result.memberships.select("node", "community").distinct()
+    members = cut(result.memberships.select("node", "community").distinct())
     threshold = options.threshold(members.select("node").distinct().count())
-    sizes = dict(_bounded(members.groupBy("community").agg(F.count(F.lit(1)))))
-    small = sorted((n, c) for c, n in sizes.items() if n < threshold)
-    if not small:
+    small = cut(candidates(members, threshold))
+    if small.isEmpty():
         return OverlappingResult(members)
     # merges change only the sets of nodes that candidates touch: their members, and members of what they may join
-    touched = members.sparkSession.createDataFrame([(c,) for _, c in small], "community long")
-    own: dict[int, set[int]] = {}
-    for n, c in _bounded(members.join(touched, "community", "left_semi").select("node", "community")):
-        own.setdefault(c, set()).add(n)
-    near = members.join(touched, "community", "left_semi").select("node").distinct()
-    edges = graph.adjacency.filter("src <> dst").join(near.withColumnRenamed("node", "src"), "src", "left_semi")
-    weights: dict[int, dict[int, float]] = {}
-    for a, b, w in _bounded(edges.select("src", "dst", "weight")):
-        weights.setdefault(a, {})[b] = w
+    near = members.join(small, "community", "left_semi").select("node").distinct()
+    edges = cut(graph.adjacency.filter("src <> dst").join(near.withColumnRenamed("node", "src"), "src", "left_semi"))
     around = near.unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    touched = cut(members.join(around, "node", "left_semi"))
+    walk = _walk_overlapping if edges.count() + touched.count() <= local_rows else _rounds_overlapping
+    moved = walk(edges, touched, small)
+    merged = members.join(moved, "community", "left").select("node", F.coalesce("_to", "community").alias("community")).distinct()
+    return OverlappingResult(cut(normalize(merged)))
+
+
+def _walk_overlapping(edges: DataFrame, touched: DataFrame, small: DataFrame) -> DataFrame:
+    """(community, _to) of the communities that merged: the rule as it stands, on frames of bounded size."""
+    order = [r.community for r in small.orderBy("size", "community").collect()]
+    wanted = set(order)
+    own: dict[int, set[int]] = {}
     of: dict[int, set[int]] = {}
-    for n, c in _bounded(members.join(around, "node", "left_semi").select("node", "community")):
+    for n, c in touched.select("node", "community").collect():
         of.setdefault(n, set()).add(c)
+        if c in wanted:
+            own.setdefault(c, set()).add(n)
+    weights: dict[int, dict[int, float]] = {}
+    for a, b, w in edges.select("src", "dst", "weight").collect():
+        weights.setdefault(a, {})[b] = w
     into: dict[int, int] = {}
-    for _, c in small:
-        if c in into:
-            continue
+    for c in order:
         shared: dict[int, int] = {}
         for n in own[c]:
             for o in of[n] - {c}:
@@ -164,23 +232,40 @@ def merge_overlapping(graph: Graph, result: OverlappingResult, options: MergeOpt
             own[target] |= own[c]
         for n in own.pop(c):
             of[n] = of[n] - {c} | {target}
-    if not into:
-        return OverlappingResult(members)
-    moved = members.sparkSession.createDataFrame([(c, _last(into, c)) for c in into], "community long, _to long")
-    merged = members.join(moved, "community", "left").select("node", F.coalesce("_to", "community").alias("community")).distinct()
-    return OverlappingResult(normalize(merged))
+    return edges.sparkSession.createDataFrame([(c, _last(into, c)) for c in into], "community long, _to long")
+
+
+def edge_weights(members: DataFrame, edges: DataFrame, small: DataFrame) -> DataFrame:
+    """(community, other, weight): summed weight of edges from a small community's members to members of each other one; edges stand from both ends."""
+    own = members.join(small.select("community"), "community", "left_semi").withColumnRenamed("node", "src")
+    far = own.join(edges, "src")
+    met = far.groupBy("community", "dst").agg(F.sum("weight").alias("weight")).join(members.select(F.col("node").alias("dst"), F.col("community").alias("other")), "dst")
+    return met.filter("community <> other").groupBy("community", "other").agg(F.sum("weight").alias("weight"))
+
+
+def _rounds_overlapping(edges: DataFrame, touched: DataFrame, small: DataFrame) -> DataFrame:
+    """The same as _walk_overlapping, in rounds: candidates touch each other if they share a member or an edge."""
+    waiting = cut(small.select("community", F.struct("size", F.col("community").alias("id")).alias("turn")))
+    members = touched
+    names = small.select("community", F.col("community").alias("_to"))
+    while not waiting.isEmpty():
+        shared = cut(overlap_counts(members, waiting))
+        weighed = cut(edge_weights(members, edges, waiting))
+        links = shared.select(F.col("community").alias("src"), F.col("other").alias("dst")).unionByName(weighed.select(F.col("community").alias("src"), F.col("other").alias("dst"))).distinct()
+        waiting = waiting.join(links.select(F.col("src").alias("community")).distinct(), "community", "left_semi")
+        ready = cut(_ready(waiting, links, False))
+        best = lambda of, value: of.join(ready, "community", "left_semi").groupBy("community").agg(F.max(F.struct(value, (-F.col("other")).alias("low"))).alias("b")).select("community", (-F.col("b.low")).alias("_to"))
+        by_members = best(shared, "shared")
+        moved = cut(by_members.unionByName(best(weighed, "weight").join(by_members, "community", "left_anti")))
+        waiting = cut(waiting.join(ready, "community", "left_anti"))
+        names = cut(names.join(moved.select(F.col("community").alias("_to"), F.col("_to").alias("_now")), "_to", "left").select("community", F.coalesce("_now", "_to").alias("_to")))
+        members = cut(members.join(moved, "community", "left").select("node", F.coalesce("_to", "community").alias("community")).distinct())
+    return names.filter("community <> _to")
 
 
 def first_targets(graph: Graph, partition: DataFrame, threshold: int, strategy: str = "connectivity", resolution: float = 1.0) -> DataFrame:
     """(community, target): what each small community would join if it were the first to merge; those without an edge outside are left out."""
-    links = contract(graph.merged, partition).filter("src <> dst")
-    both = links.select(F.col("src").alias("community"), F.col("dst").alias("target"), "weight").unionByName(links.select(F.col("dst").alias("community"), F.col("src").alias("target"), "weight"))
-    own = both.join(candidates(partition, threshold).select("community"), "community", "left_semi")
-    if strategy == "connectivity":
-        gain = F.col("weight")
-    else:
-        s = graph.community_strength(partition)
-        own = own.join(s.select("community", F.col("strength").alias("s")), "community").join(s.select(F.col("community").alias("target"), F.col("strength").alias("t")), "target").crossJoin(graph.total_weight())
-        gain = 2 * F.col("weight") / F.col("total_weight") - 2 * F.lit(resolution) * F.col("s") * F.col("t") / (F.col("total_weight") * F.col("total_weight"))
-    best = own.groupBy("community").agg(F.max(F.struct(gain.alias("gain"), (-F.col("target")).alias("low"))).alias("b"))
-    return best.select("community", (-F.col("b.low")).alias("target"))
+    sums = graph.community_strength(partition)
+    both = both_ways(contract(graph.merged, partition).filter("src <> dst"))
+    total = graph.total_weight().first()[0]
+    return targets(both, candidates(partition, threshold), sums, total, MergeOptions(strategy=strategy, resolution=resolution)).withColumnRenamed("_to", "target")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,13 +32,27 @@ def co_occurrence(rows: DataFrame, group: str, item: str, least: int = 1) -> Dat
     return a.join(b, "g").filter("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight")).filter(F.col("weight") >= least)
 
 
+def meeting(rows: DataFrame, group: str, item: str) -> DataFrame:
+    """(id): items that share a group with another one, without listing pairs."""
+    own = rows.select(F.col(group).alias("g"), F.col(item).cast("long").alias("i")).filter("g is not null and i is not null")
+    return own.groupBy("g").agg(F.collect_set("i").alias("items")).filter(F.size("items") > 1).select(F.explode("items").alias("id")).distinct()
+
+
+def co_order_graph(spark: SparkSession, sf_dir: str, item: str, known: DataFrame, least: int) -> Graph:
+    """Items that stand in the same order; known (id) are nodes with or without edges."""
+    lines = table(spark, sf_dir, "lineitem")
+    edges = co_occurrence(lines, "l_orderkey", item, least)
+    if least > 1:
+        return replace(build(edges, known), simple=True)
+    nodes = known.unionByName(meeting(lines, "l_orderkey", item)).filter("id is not null").distinct()
+    return Graph(nodes.select("id", F.lit(1.0).alias("weight")), edges, simple=True)
+
+
 def part_graph(spark: SparkSession, sf_dir: str, least: int = 1) -> Graph:
     """Parts that stand in the same order."""
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit(1.0).alias("weight"))
-    return build(co_occurrence(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", least), parts)
+    return co_order_graph(spark, sf_dir, "l_partkey", table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id")), least)
 
 
 def supplier_graph(spark: SparkSession, sf_dir: str, least: int = 1) -> Graph:
     """Suppliers that stand in the same order."""
-    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.lit(1.0).alias("weight"))
-    return build(co_occurrence(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey", least), suppliers)
+    return co_order_graph(spark, sf_dir, "l_suppkey", table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("id")), least)
