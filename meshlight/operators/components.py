@@ -9,7 +9,7 @@ from meshlight.operators.skew import SALTS
 from meshlight.runtime import cut
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", checkpoint_every: int = 2) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for every node of ``edges``; component is its least node.
 
     Alternates large-star and small-star steps: each replaces edges by edges
@@ -22,12 +22,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", c
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u is not null and v is not null")
     e = cut(e.distinct())
     nodes = e.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    e = e.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    e = cut(e.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = _mark(e)
     while mark[0]:
-        for _ in range(checkpoint_every):
-            e = _small_star(_large_star(e))
-        e = cut(e)
+        e = cut(_large_star(e))  # each step reads its edges twice: two in one plan would read them four times
+        e = cut(_small_star(e))
         now = _mark(e)
         if now == mark:
             break
