@@ -29,9 +29,14 @@ def crc_fold(doc_id: str = "doc_id", folds: int = 3) -> Column:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with workers that can import this package."""
+    """mapInArrow with workers that can import this package and give their buffers back after each task."""
     ensure_importable(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 class BoundedCache(dict):

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, doc_text, texts_of
 
 Q, BUDGET, BLOCK_MB = 8, 0.1, 16
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BITS = 22
 SCHEMA = "doc_id long, item_id long, start_byte long, length_bytes long, edits long"

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, crc_fold, cut, texts_of
 
 CHARS = 40_000_000
-PER_LANG, BUCKETS_LOG2, LEXICON, CHUNK, CACHE, UNKNOWN = 150, 16, 2000, 200_000, 250_000, "und"
+PER_LANG, BUCKETS_LOG2, LEXICON, CHUNK, CACHE, UNKNOWN = 150, 16, 2000, 100_000, 100_000, "und"
 RUNS, LETTERS = re.compile(r"[^\W\d_]+").findall, regex.compile(r"\p{L}+").findall
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, words long, switches long"
 _P = np.uint64(1_099_511_628_211)
