@@ -1,13 +1,18 @@
 """The named queries of the graph operators and their SQL.
 
-The graphs come from the orders: parts that stand in one order ("p"), in at
-least two orders ("s"), and suppliers ("u"). Weights are whole numbers, so
-sums agree between engines; quotients are rounded to 9 places.
+The graphs come from the orders: parts ("p") or suppliers ("u") that stand in
+one order. All queries take whole tables. Weights are whole numbers or halves
+of such, so sums agree between engines; quotients are rounded to 9 places.
+
+Detection to the end is unrolled in SQL for LEVELS levels; a level counts
+while the one before moved a node and joined some, so more levels than a run
+needs change nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,13 +22,13 @@ from meshlight.operators import detect, ego, kernel, merge, partition
 from meshlight.operators.graph import Graph, build
 from meshlight.operators.registry import NodeRegistry
 from meshlight.runtime import cut, table
-from meshlight.sources.builders import co_occurrence, part_graph, supplier_graph
+from meshlight.sources.builders import part_graph, supplier_graph
 from meshlight.streaming import online
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-NODES = 60  # nodes of the small covers that omega compares
+LEVELS = 7  # of the unrolled SQL; the graphs here need 4 at most
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -180,32 +185,6 @@ def nmi(spark, d):
     return rounded(metrics.nmi(of(F.col("p_size") % 4), of(F.col("p_partkey") % 6)))
 
 
-def cover(spark, d, a: int, b: int) -> DataFrame:
-    part = table(spark, d, "part").filter(F.col("p_partkey") <= NODES)
-    of = lambda c: part.select(F.col("p_partkey").alias("node"), c.cast("long").alias("community"))
-    return of(F.col("p_partkey") % a).unionByName(of(100 + F.col("p_partkey") % b))
-
-
-@query(
-    f"""WITH n AS (SELECT p_partkey AS node FROM part WHERE p_partkey <= {NODES}),
-pr AS (SELECT (a.node % 4 = b.node % 4)::INT + (a.node % 7 = b.node % 7)::INT AS x, (a.node % 3 = b.node % 3)::INT + (a.node % 8 = b.node % 8)::INT AS y FROM n a JOIN n b ON a.node < b.node),
-o AS (SELECT avg((x = y)::INT::DOUBLE) AS obs, count(*)::DOUBLE AS t FROM pr),
-h AS (SELECT s, sum(fx) AS fx, sum(fy) AS fy FROM (SELECT x AS s, 1.0::DOUBLE AS fx, 0.0::DOUBLE AS fy FROM pr UNION ALL SELECT y, 0.0, 1.0 FROM pr) GROUP BY 1),
-c AS (SELECT sum(fx * fy) / (max(t) * max(t)) AS ex FROM h, o)
-SELECT round(least(1.0, greatest(0.0, (obs - ex) / (1 - ex))), 9) AS omega FROM o, c"""
-)
-def omega_index(spark, d):
-    return rounded(metrics.omega_index(cover(spark, d, 4, 7), cover(spark, d, 3, 8)))
-
-
-@query(
-    f"""WITH n AS (SELECT p_partkey AS node FROM part WHERE p_partkey <= {NODES}), pr AS (SELECT a.node AS u, b.node AS v, CAST((a.node % 4 = b.node % 4)::INT + (a.node % 7 = b.node % 7)::INT AS BIGINT) AS shared FROM n a JOIN n b ON a.node < b.node)
-SELECT * FROM pr WHERE shared > 0"""
-)
-def shared_memberships(spark, d):
-    return metrics.shared_memberships(cover(spark, d, 4, 7))
-
-
 @query(graph_sql("SELECT count(DISTINCT community) AS communities FROM p"))
 def unique_communities(spark, d):
     return metrics.community_count(modulo_partition(part_graph(spark, d)))
@@ -240,12 +219,11 @@ ie AS (SELECT adj.src, adj.dst FROM adj JOIN b x ON x.node = adj.src JOIN b y ON
 reach AS (SELECT node, node AS root FROM b UNION SELECT ie.dst, reach.root FROM reach JOIN ie ON ie.src = reach.node),
 c AS (SELECT community, b.node, min(root) AS root FROM b JOIN reach ON reach.node = b.node GROUP BY 1, 2)
 SELECT node, dense_rank() OVER (ORDER BY community, root) - 1 AS community FROM c""".lstrip(),
-        least=2,
-        recursive=True,
+            recursive=True,
     ).replace(")\n, b AS", "),\nb AS")
 )
 def refine_components(spark, d):
-    g = part_graph(spark, d, 2)
+    g = part_graph(spark, d)
     p = g.vertices.select(F.col("id").alias("node"), F.floor(F.col("id") / 20).alias("community"))
     return partition.refine(cut(g.merged), p)
 
@@ -257,12 +235,12 @@ def bucket_sql(node: str, o: kernel.MoveOptions) -> str:
     return f"((({node} % {kernel.HASH_MOD}) * {kernel.HASH_NODE} + {o.seed * kernel.HASH_SEED}) % {kernel.HASH_MOD} % {o.buckets})"
 
 
-def level_sql(tag: str, nodes: str, edges: str, o: kernel.MoveOptions = LEVEL_OPTIONS) -> str:
-    """CTEs of one level's sweep, unrolled by bucket; {tag}done (node, community) numbers its result."""
+def level_sql(tag: str, nodes: str, edges: str, o: kernel.MoveOptions = LEVEL_OPTIONS, start: str | None = None) -> str:
+    """CTEs of one level's sweep, unrolled by bucket; {tag}done (node, community) numbers its result, {tag}moved counts its moves."""
     out = f""", {tag}adj AS MATERIALIZED (SELECT src, dst, weight FROM {edges} UNION ALL SELECT dst, src, weight FROM {edges} WHERE src <> dst),
 {tag}k AS MATERIALIZED (SELECT n.node, coalesce(sum(weight), 0.0) AS k FROM {nodes} n LEFT JOIN {tag}adj a ON a.src = n.node GROUP BY 1),
 {tag}m AS MATERIALIZED (SELECT sum(weight) AS m FROM {edges}),
-{tag}p0 AS MATERIALIZED (SELECT node, node AS community FROM {nodes})"""
+{tag}p0 AS MATERIALIZED ({f"SELECT node, community FROM {start}" if start else f"SELECT node, node AS community FROM {nodes}"})"""
     for r in range(o.buckets):
         p = f"{tag}p{r}"
         out += f""",
@@ -274,8 +252,46 @@ def level_sql(tag: str, nodes: str, edges: str, o: kernel.MoveOptions = LEVEL_OP
   FROM {tag}i{r} i JOIN {tag}o{r} USING (node) JOIN {tag}s{r} s ON s.community = i.community, {tag}m),
 {tag}b{r} AS MATERIALIZED (SELECT node, arg_min(community, (-score, community)) AS best, max(score) AS score, max(CASE WHEN community = now THEN score END) AS staying FROM {tag}c{r} GROUP BY 1),
 {tag}p{r + 1} AS MATERIALIZED (SELECT p.node, CASE WHEN b.score > b.staying THEN b.best ELSE p.community END AS community FROM {p} p LEFT JOIN {tag}b{r} b USING (node))"""
+    last = f"{tag}p{o.buckets}"
+    out += f""",
+{tag}moved AS MATERIALIZED (SELECT count(*) AS moved FROM {tag}p0 a JOIN {last} z USING (node) WHERE a.community <> z.community)"""
+    if o.connected:
+        return out + f""",
+{tag}in AS MATERIALIZED (SELECT a.src, a.dst FROM {tag}adj a JOIN {last} x ON x.node = a.src JOIN {last} y ON y.node = a.dst AND x.community = y.community WHERE a.src <> a.dst),
+{tag}reach AS (SELECT node, node AS root FROM {last} UNION SELECT i.dst, r.root FROM {tag}reach r JOIN {tag}in i ON i.src = r.node),
+{tag}root AS MATERIALIZED (SELECT node, min(root) AS root FROM {tag}reach GROUP BY 1),
+{tag}done AS MATERIALIZED (SELECT node, dense_rank() OVER (ORDER BY community, root) - 1 AS community FROM {last} JOIN {tag}root USING (node))"""
     return out + f""",
-{tag}done AS MATERIALIZED (SELECT node, dense_rank() OVER (ORDER BY community) - 1 AS community FROM {tag}p{o.buckets})"""
+{tag}done AS MATERIALIZED (SELECT node, dense_rank() OVER (ORDER BY community) - 1 AS community FROM {last})"""
+
+
+def detect_sql(tag: str, nodes: str, edges: str, o: kernel.MoveOptions, levels: int = LEVELS, start: str | None = None) -> str:
+    """CTEs of a whole detection; {tag}found (node, community) is its result, {tag}metrics (modularity, passes, moves) one row."""
+    out = f""", {tag}1n AS MATERIALIZED (SELECT node FROM {nodes}), {tag}1g AS MATERIALIZED (SELECT src, dst, weight FROM {edges}), {tag}1live AS (SELECT true AS ok)"""
+    for t in range(1, levels + 1):
+        own, last = f"{tag}{t}", f"{tag}{t - 1}"
+        if t > 1:
+            out += f""",
+{own}live AS MATERIALIZED (SELECT ok AND moved > 0 AND z < b AND z > 1 AS ok FROM {last}live, {last}moved, (SELECT count(DISTINCT community) AS z, count(*) AS b FROM {last}done)),
+{own}n AS MATERIALIZED (SELECT DISTINCT community AS node FROM {last}done, {own}live WHERE ok),
+{own}g AS MATERIALIZED (SELECT least(x.community, y.community) AS src, greatest(x.community, y.community) AS dst, sum(CASE WHEN src = dst THEN weight / 2 ELSE weight END) AS weight
+  FROM {last}g g JOIN {last}done x ON x.node = g.src JOIN {last}done y ON y.node = g.dst, {own}live WHERE ok GROUP BY 1, 2)"""
+        out += level_sql(own, f"{own}n", f"{own}g", o, start if t == 1 else None)
+        out += f""",
+{own}map AS MATERIALIZED ({f"SELECT node, community FROM {own}done" if t == 1 else f"SELECT m.node, d.community FROM {last}map m JOIN {own}done d ON d.node = m.community"}),
+{own}q AS MATERIALIZED (SELECT {t} AS t, sum(intra) / (2 * max(m)) - sum(degree * degree) / (4 * max(m) * max(m)) AS q FROM (SELECT x.community, sum(weight) AS degree, sum(CASE WHEN x.community = y.community THEN weight ELSE 0 END) AS intra
+  FROM {tag}1adj a JOIN {own}map x ON x.node = a.src JOIN {own}map y ON y.node = a.dst GROUP BY 1), {tag}1m)"""
+    each = range(1, levels + 1)
+    return out + f""",
+{tag}best AS MATERIALIZED (SELECT arg_min(t, (-round(q, 13), t)) AS t, max(q) AS q FROM ({" UNION ALL ".join(f"SELECT t, q FROM {tag}{t}q, {tag}{t}live WHERE ok" for t in each)})),
+{tag}metrics AS (SELECT q AS modularity, passes, moves FROM {tag}best, (SELECT CAST(count(*) AS INTEGER) AS passes, CAST(sum(moved) AS BIGINT) AS moves FROM ({" UNION ALL ".join(f"SELECT moved FROM {tag}{t}moved, {tag}{t}live WHERE ok" for t in each)}))),
+{tag}found AS MATERIALIZED (SELECT node, dense_rank() OVER (ORDER BY community) - 1 AS community FROM ({" UNION ALL ".join(f"SELECT node, community FROM {tag}{t}map, {tag}best b WHERE b.t = {t}" for t in each)}))"""
+
+
+def whole_sql(rest: str, *more: str, **options) -> str:
+    """graph_sql with n (node) and further CTEs, each of which begins with a comma."""
+    head, tail = graph_sql("", recursive=True, **options).rstrip(), "".join(more)
+    return f"{head},\nn AS (SELECT id AS node FROM v){tail}\n{rest}"
 
 
 def one_level(g: Graph) -> DataFrame:
@@ -284,28 +300,26 @@ def one_level(g: Graph) -> DataFrame:
     return cut(partition.normalize(detect.sweep(g, start, total, LEVEL_OPTIONS)[0]))
 
 
-ONE = graph_sql(", n AS (SELECT id AS node FROM v)" + level_sql("a", "n", "e") + "\nSELECT node, community FROM adone", least=2).replace(")\n, n AS", "),\nn AS")
-TWO = graph_sql(
-    ", n AS (SELECT id AS node FROM v)"
-    + level_sql("a", "n", "e")
-    + """,
+ONE = whole_sql("SELECT node, community FROM adone", level_sql("a", "n", "e"))
+TWO = whole_sql(
+    "SELECT adone.node, zdone.community FROM adone JOIN zdone ON zdone.node = adone.community",
+    level_sql("a", "n", "e"),
+    """,
 e2 AS MATERIALIZED (SELECT least(x.community, y.community) AS src, greatest(x.community, y.community) AS dst, sum(weight) AS weight FROM e JOIN adone x ON x.node = e.src JOIN adone y ON y.node = e.dst GROUP BY 1, 2),
-n2 AS (SELECT DISTINCT community AS node FROM adone)"""
-    + level_sql("z", "n2", "e2")
-    + "\nSELECT adone.node, zdone.community FROM adone JOIN zdone ON zdone.node = adone.community",
-    least=2,
-).replace(")\n, n AS", "),\nn AS")
+n2 AS (SELECT DISTINCT community AS node FROM adone)""",
+    level_sql("z", "n2", "e2"),
+)
 
 
 @query(ONE)
 def louvain_one_level(spark, d):
-    g = part_graph(spark, d, 2)
+    g = part_graph(spark, d)
     return one_level(Graph(g.vertices, cut(g.merged)))
 
 
 @query(TWO)
 def louvain_two_levels(spark, d):
-    g = part_graph(spark, d, 2)
+    g = part_graph(spark, d)
     g = Graph(g.vertices, cut(g.merged))
     first = one_level(g)
     level = Graph(first.select(F.col("community").alias("id")).distinct().withColumn("weight", F.lit(1.0)), cut(partition.contract(g.merged, first)))
@@ -331,17 +345,17 @@ net AS (SELECT a.ego, e.src, e.dst, e.weight FROM e JOIN mem a ON a.node = e.src
 
 
 def ego_sql(rest: str, more: str = "") -> str:
-    return graph_sql(EGO_SQL + more + "\n" + rest, least=2).replace(")\n, mem AS", "),\nmem AS")
+    return graph_sql(EGO_SQL + more + "\n" + rest).replace(")\n, mem AS", "),\nmem AS")
 
 
 @query(ego_sql("SELECT * FROM net"))
 def ego_net_edges(spark, d):
-    return ego.ego_net_edges(part_graph(spark, d, 2))
+    return ego.ego_net_edges(part_graph(spark, d))
 
 
 @query(ego_sql("SELECT ego, node, row_number() OVER (PARTITION BY ego ORDER BY node) - 1 AS local_comm FROM mem WHERE ego NOT IN (SELECT ego FROM net)"))
 def ego_singletons(spark, d):
-    g = part_graph(spark, d, 2)
+    g = part_graph(spark, d)
     bare = cut(ego.ego_members(g).select("ego").distinct().join(ego.ego_net_edges(g).select("ego").distinct(), "ego", "left_anti"))
     return ego.ego_partition(g, detect.Louvain(detect.LouvainOptions(seed=1)), bare)
 
@@ -358,20 +372,20 @@ pe AS (SELECT node, local_comm, (SELECT max(id) FROM v) + dense_rank() OVER (ORD
 
 @query(ego_sql("SELECT node, local_comm, persona_id FROM pe", SPLIT))
 def persona_assign(spark, d):
-    g = part_graph(spark, d, 2)
+    g = part_graph(spark, d)
     return ego.personas(g.vertices.select(F.col("id").alias("node")), split_egos(g))
 
 
 @query(ego_sql("SELECT least(a.persona_id, b.persona_id) AS src, greatest(a.persona_id, b.persona_id) AS dst, sum(weight) AS weight FROM e JOIN pe a ON a.node = e.src AND a.local_comm = e.dst % 2 JOIN pe b ON b.node = e.dst AND b.local_comm = e.src % 2 GROUP BY 1, 2", SPLIT))
 def persona_edges(spark, d):
-    g = part_graph(spark, d, 2)
+    g = part_graph(spark, d)
     egos = split_egos(g)
     return ego.persona_edges(g, ego.personas(g.vertices.select(F.col("id").alias("node")), egos), egos)
 
 
 @query(ego_sql("SELECT node, dense_rank() OVER (ORDER BY c) - 1 AS community FROM (SELECT DISTINCT node, persona_id % 17 * 3 AS c FROM pe)", SPLIT))
 def overlapping_compact(spark, d):
-    g = part_graph(spark, d, 2)
+    g = part_graph(spark, d)
     people = ego.personas(g.vertices.select(F.col("id").alias("node")), split_egos(g))
     return ego.memberships(people, people.select("persona_id", (F.col("persona_id") % 17 * 3).alias("community")))
 
@@ -383,16 +397,16 @@ def overlapping_compact(spark, d):
     )
 )
 def prior_projection(spark, d):
-    g = part_graph(spark, d, 2)
+    g = part_graph(spark, d)
     people = ego.personas(g.vertices.select(F.col("id").alias("node")), split_egos(g))
     even = g.vertices.filter("id % 2 = 0")
     prior = even.select(F.col("id").alias("node"), F.explode(F.array(F.col("id") % 4, 10 + F.col("id") % 3)).alias("community"))
     return online.project_prior(people, prior)
 
 
-@query(graph_sql("SELECT id AS ego FROM v WHERE id IN (11, 23, 42) UNION SELECT dst FROM adj WHERE src IN (11, 23)", least=2))
+@query(graph_sql("SELECT id AS ego FROM v WHERE id IN (11, 23, 42) UNION SELECT dst FROM adj WHERE src IN (11, 23)"))
 def affected_nodes(spark, d):
-    g = part_graph(spark, d, 2)
+    g = part_graph(spark, d)
     delta = online.GraphDelta(spark.createDataFrame([(42,)], "id long"), spark.createDataFrame([(11, 23, 1.0)], "src long, dst long, weight double"))
     return online.affected_nodes(g, delta)
 
@@ -442,34 +456,7 @@ def merge_target_modularity(spark, d):
     return merge.first_targets(g, lopsided(g), tenth(g), "modularity")
 
 
-@query(
-    f"""WITH n AS (SELECT p_partkey AS node FROM part WHERE p_partkey <= {NODES}), mm AS (SELECT node, node % 4 AS community FROM n UNION ALL SELECT node, 100 + node % 7 FROM n)
-SELECT a.community, b.community AS other, count(*) AS shared FROM mm a JOIN mm b ON a.node = b.node AND a.community <> b.community WHERE a.community >= 100 GROUP BY 1, 2"""
-)
-def overlap_counts(spark, d):
-    c = cover(spark, d, 4, 7)
-    return merge.overlap_counts(c, c.filter("community >= 100").select("community").distinct())
-
-
-# --- the same queries over all parts: the whole part graph, and covers of every part
-
-
-@query(ego_sql("SELECT * FROM net").replace("count(*) >= 2", "count(*) >= 1"))
-def ego_net_edges_whole(spark, d):
-    return ego.ego_net_edges(part_graph(spark, d))
-
-
-@query()
-def refine_components_whole(spark, d):
-    g = part_graph(spark, d)
-    p = g.vertices.select(F.col("id").alias("node"), F.floor(F.col("id") / 20).alias("community"))
-    return partition.refine(cut(g.merged), p)
-
-
-@query()
-def louvain_one_level_whole(spark, d):
-    g = part_graph(spark, d)
-    return one_level(Graph(g.vertices, cut(g.merged)))
+# --- covers of every part
 
 
 def small_communities(spark, d, a: int, b: int) -> DataFrame:
@@ -487,7 +474,7 @@ def members_sql(a: int, b: int) -> str:
 
 
 @query(f"WITH x AS ({members_sql(4, 7)}) {SHARED_SQL.format('x')}")
-def shared_memberships_whole(spark, d):
+def shared_memberships(spark, d):
     return metrics.shared_memberships(small_communities(spark, d, 4, 7))
 
 
@@ -501,7 +488,7 @@ lv AS (SELECT s, sum(fx) AS fx, sum(fy) AS fy FROM (SELECT a AS s, 1.0::DOUBLE A
 c AS (SELECT sum(fx * fy) / (max(t) * max(t)) AS ex FROM lv, n)
 SELECT round(least(1.0, greatest(0.0, (obs - ex) / (1 - ex))), 9) AS omega FROM o, c"""
 )
-def omega_index_whole(spark, d):
+def omega_index(spark, d):
     return rounded(metrics.omega_index(small_communities(spark, d, 4, 7), small_communities(spark, d, 3, 8)))
 
 
@@ -509,36 +496,41 @@ def omega_index_whole(spark, d):
     """WITH mm AS (SELECT p_partkey AS node, p_partkey % 4 AS community FROM part UNION ALL SELECT p_partkey, 100 + p_partkey % 7 FROM part)
 SELECT a.community, b.community AS other, count(*) AS shared FROM mm a JOIN mm b ON a.node = b.node AND a.community <> b.community WHERE a.community >= 100 GROUP BY 1, 2"""
 )
-def overlap_counts_whole(spark, d):
+def overlap_counts(spark, d):
     part = table(spark, d, "part")
     of = lambda c: part.select(F.col("p_partkey").alias("node"), c.cast("long").alias("community"))
     c = of(F.col("p_partkey") % 4).unionByName(of(100 + F.col("p_partkey") % 7))
     return merge.overlap_counts(c, c.filter("community >= 100").select("community").distinct())
 
 
-# --- whole algorithms: their results are checked by tests, not by SQL
+# --- whole algorithms
 
 
 FIXED = detect.LouvainOptions(seed=42)
 EGO = ego.EgoSplittingOptions(detect.Louvain(detect.LouvainOptions(seed=1)), detect.Louvain(detect.LouvainOptions(seed=1, max_passes=1)))
+RUN = detect.moves_of(FIXED)
+FOUND = detect_sql("d", "n", "e", RUN)
 
 
-@query()
+@query(whole_sql("SELECT * FROM dfound", FOUND))
 def louvain_full(spark, d):
     return detect.Louvain(FIXED).detect(part_graph(spark, d)).partition
 
 
-@query()
+@query(whole_sql("SELECT * FROM dfound", detect_sql("d", "n", "e", detect.moves_of(detect.LeidenOptions(seed=42)))))
 def leiden_full(spark, d):
     return detect.Leiden(detect.LeidenOptions(seed=42)).detect(part_graph(spark, d)).partition
 
 
-@query()
+@query(whole_sql("SELECT round(modularity, 9) AS modularity, passes, moves FROM dmetrics", FOUND, item="l_suppkey", vertices="SELECT DISTINCT s_suppkey AS id FROM supplier"))
 def louvain_metrics(spark, d):
-    return detect.Louvain(FIXED).detect(supplier_graph(spark, d)).metrics()
+    return detect.Louvain(FIXED).detect(supplier_graph(spark, d)).metrics().withColumn("modularity", F.round("modularity", 9))
 
 
-@query()
+WARM = ", w0 AS MATERIALIZED (SELECT node, dense_rank() OVER (ORDER BY first) - 1 AS community FROM (SELECT node, min(node) OVER (PARTITION BY community) AS first FROM dfound))"
+
+
+@query(whole_sql("SELECT * FROM wfound", FOUND, WARM, detect_sql("w", "n", "e", RUN, start="w0")))
 def louvain_warm(spark, d):
     g = part_graph(spark, d)
     prior = detect.Louvain(FIXED).detect(g).partition
@@ -558,25 +550,188 @@ def ego_with_prior(spark, d):
 
 @query()
 def ego_update(spark, d):
-    g = part_graph(spark, d)
-    new = spark.createDataFrame([(11, 23, 1.0), (11, 10**9, 1.0)], "src long, dst long, weight double")
-    after = g.add_edges(new)
-    before = online.OnlineEgoSplitting(EGO).detect(g)
-    return online.OnlineEgoSplitting(EGO).update(after, online.GraphDelta(spark.createDataFrame([(10**9,)], "id long"), new), before).memberships
+    return updated(spark, EGO, d).memberships
 
 
 @query()
-def merge_disjoint(spark, d):
+def merge_detected(spark, d):
+    """Merging of what detection found, disjoint."""
     g = part_graph(spark, d)
-    return merge.merge_communities(g, detect.Louvain(FIXED).detect(g), merge.MergeOptions(min_size=5)).partition
+    return merge.merge_communities(g, detect.Louvain(FIXED).detect(g), merge.MergeOptions(min_fraction=0.05)).partition
 
 
 @query()
-def merge_overlapping(spark, d):
+def merge_detected_overlapping(spark, d):
     g = part_graph(spark, d)
     return merge.merge_overlapping(g, ego.EgoSplitting(EGO).detect(g), merge.MergeOptions(min_size=3)).memberships
 
 
+# --- the same from a local detector that SQL can follow
+
+
+@dataclass(frozen=True)
+class Parity:
+    """A user's detector: nodes by parity of their id, alone or inside the tasks."""
+
+    def detect(self, graph: Graph) -> detect.CommunityResult:
+        return detect.CommunityResult(graph.vertices.select(F.col("id").alias("node"), F.col("id") % 2).toDF("node", "community"), 0.0, 1, 0)
+
+    def detect_arrays(self, ids, group, src, dst, weight):
+        return ids % 2
+
+
+PARITY = ego.EgoSplittingOptions(Parity(), EGO.glob)
+ONCE = detect.moves_of(EGO.glob.options)
+
+
+def egos_sql(tag: str, v: str, e: str, adj: str) -> str:
+    """CTEs {tag}eg (ego, node, local_comm) and {tag}lc (node, local_comm): parity in nets with an edge, else one community for each neighbour."""
+    return f""", {tag}mem AS MATERIALIZED (SELECT src AS ego, dst AS node FROM {adj}),
+{tag}net AS MATERIALIZED (SELECT DISTINCT a.ego FROM {e} JOIN {tag}mem a ON a.node = {e}.src JOIN {tag}mem b ON b.node = {e}.dst AND a.ego = b.ego),
+{tag}eg AS MATERIALIZED (SELECT ego, node, CASE WHEN ego IN (SELECT ego FROM {tag}net) THEN node % 2 ELSE row_number() OVER (PARTITION BY ego ORDER BY node) - 1 END AS local_comm FROM {tag}mem),
+{tag}lc AS MATERIALIZED (SELECT DISTINCT v.id AS node, coalesce(local_comm, 0) AS local_comm FROM {v} v LEFT JOIN {tag}eg ON ego = v.id)"""
+
+
+def persona_graph_sql(tag: str, e: str, eg: str, people: str) -> str:
+    """CTEs {tag}n (node: persona) and {tag}g (src, dst, weight), and the memberships {tag}mm that {tag}found gives."""
+    return f""", {tag}n AS MATERIALIZED (SELECT persona_id AS node FROM {people}),
+{tag}g AS MATERIALIZED (SELECT least(a.persona_id, b.persona_id) AS src, greatest(a.persona_id, b.persona_id) AS dst, sum(weight) AS weight FROM {e} JOIN {eg} x ON x.ego = {e}.src AND x.node = {e}.dst JOIN {eg} y ON y.ego = {e}.dst AND y.node = {e}.src
+  JOIN {people} a ON a.node = {e}.src AND a.local_comm = x.local_comm JOIN {people} b ON b.node = {e}.dst AND b.local_comm = y.local_comm GROUP BY 1, 2)"""
+
+
+def members_of_sql(tag: str, people: str) -> str:
+    return f"SELECT node, dense_rank() OVER (ORDER BY community) - 1 AS community FROM (SELECT DISTINCT p.node, f.community FROM {people} p JOIN {tag}found f ON f.node = p.persona_id)"
+
+
+SPLIT_ALL = egos_sql("o", "v", "e", "adj") + ", pe AS MATERIALIZED (SELECT node, local_comm, (SELECT max(id) FROM v) + dense_rank() OVER (ORDER BY node, local_comm) AS persona_id FROM olc)" + persona_graph_sql("x", "e", "oeg", "pe")
+SPLIT_DONE = SPLIT_ALL + detect_sql("x", "xn", "xg", ONCE, 1)
+
+
+@query(whole_sql(members_of_sql("x", "pe"), SPLIT_DONE))
+def ego_detect_parity(spark, d):
+    return ego.EgoSplitting(PARITY).detect(part_graph(spark, d)).memberships
+
+
+def start_sql(tag: str, known: str) -> str:
+    """A warm start of the nodes {tag}n from known (node, community): named by the least node, fresh ones by themselves."""
+    return f""", {tag}s AS MATERIALIZED (SELECT node, dense_rank() OVER (ORDER BY first) - 1 AS community FROM (SELECT n.node, CASE WHEN k.community IS NULL THEN n.node ELSE min(n.node) OVER (PARTITION BY k.community) END AS first FROM {tag}n n LEFT JOIN {known} k ON k.node = n.node))"""
+
+
+@query(whole_sql(members_of_sql("x", "pe"), SPLIT_ALL, ", pr AS (SELECT persona_id AS node, node % 13 AS community FROM pe)", start_sql("x", "pr"), detect_sql("x", "xn", "xg", ONCE, 1, "xs")))
+def ego_with_prior_parity(spark, d):
+    g = part_graph(spark, d)
+    return online.OnlineEgoSplitting(PARITY).detect_with_prior(g, modulo_partition(g)).memberships
+
+
+def updated(spark, options: ego.EgoSplittingOptions, d: str) -> ego.OverlappingResult:
+    """The result after an edge between two parts and one to a part that is new."""
+    g = part_graph(spark, d)
+    new = spark.createDataFrame([(11, 23, 1.0), (11, 10**9, 1.0)], "src long, dst long, weight double")
+    after = g.add_edges(new)
+    before = online.OnlineEgoSplitting(options).detect(g)
+    return online.OnlineEgoSplitting(options).update(after, online.GraphDelta(spark.createDataFrame([(10**9,)], "id long"), new), before)
+
+
+UPDATED = (
+    """, e2 AS MATERIALIZED (SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM e UNION ALL VALUES (11, 23, 1.0::DOUBLE), (11, 1000000000, 1.0::DOUBLE)) t(src, dst, weight) GROUP BY 1, 2),
+v2 AS (SELECT id FROM v UNION SELECT src FROM e2 UNION SELECT dst FROM e2),
+adj2 AS MATERIALIZED (SELECT src, dst, weight FROM e2 UNION ALL SELECT dst, src, weight FROM e2),
+hit AS (SELECT 1000000000 AS node UNION SELECT 11 UNION SELECT 23 UNION SELECT dst FROM adj2 WHERE src IN (11, 23, 1000000000))"""
+    + egos_sql("u", "v2", "e2", "adj2")
+    + """,
+fresh AS MATERIALIZED (SELECT node, local_comm, (SELECT max(t) FROM (SELECT max(persona_id) AS t FROM pe UNION ALL SELECT max(id) FROM v2)) + dense_rank() OVER (ORDER BY node, local_comm) AS persona_id FROM ulc WHERE node IN (SELECT node FROM hit)),
+pe2 AS MATERIALIZED (SELECT node, local_comm, persona_id FROM pe WHERE node NOT IN (SELECT node FROM hit) UNION ALL SELECT node, local_comm, persona_id FROM fresh)"""
+    + persona_graph_sql("y", "e2", "ueg", "pe2")
+    + """,
+had AS MATERIALIZED (SELECT p.node, list_sort(list(DISTINCT f.community)) AS had FROM pe p JOIN xfound f ON f.node = p.persona_id GROUP BY 1),
+kn AS MATERIALIZED (SELECT f.node, f.community FROM xfound f JOIN pe2 ON persona_id = f.node
+  UNION ALL SELECT persona_id, had[i % len(had) + 1] FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY local_comm) - 1 AS i FROM fresh) JOIN had USING (node))"""
+)
+
+
+@query(whole_sql(members_of_sql("y", "pe2"), SPLIT_DONE, UPDATED, start_sql("y", "kn"), detect_sql("y", "yn", "yg", ONCE, 1, "ys")))
+def ego_update_parity(spark, d):
+    return updated(spark, PARITY, d).memberships
+
+
+# --- merging from partitions and covers with a fixed number of small communities
+
+
+UNEVEN = """, m0 AS MATERIALIZED (SELECT id AS node, CAST(CASE WHEN id % 10 = 0 THEN 1000 + id % 80 ELSE id % 5 END AS BIGINT) AS community FROM v)"""
+COVER = """, m0 AS MATERIALIZED (SELECT id AS node, CAST(id % 5 AS BIGINT) AS community FROM v WHERE id % 50 <> 7 UNION ALL SELECT id, CAST(100 + id % 40 AS BIGINT) FROM v WHERE id % 10 = 0 UNION ALL SELECT id, CAST(200 + id % 100 AS BIGINT) FROM v WHERE id % 50 = 7)"""
+TURNS = """, th AS (SELECT CAST(ceil(0.1 * count(DISTINCT node)) AS BIGINT) AS t FROM m0),
+turn AS MATERIALIZED (SELECT community, row_number() OVER (ORDER BY size, community) AS r FROM (SELECT community, count(*) AS size FROM m0 GROUP BY 1), th WHERE size < t)"""
+
+
+def merge_steps_sql(steps: int, strategy: str = "connectivity") -> str:
+    """CTEs m1 to m{steps}: the partition after each candidate's turn."""
+    out = TURNS
+    for i in range(1, steps + 1):
+        now = f"m{i - 1}"
+        gain = "w" if strategy == "connectivity" else "2 * w / m - 2 * 1.0::DOUBLE * a.s * z.s / (m * m)"
+        more = "" if strategy == "connectivity" else f"JOIN s{i} a ON a.community = c JOIN s{i} z ON z.community = target, m"
+        out += f""",
+s{i} AS MATERIALIZED (SELECT community, sum(k) AS s FROM {now} JOIN k USING (node) GROUP BY 1),
+c{i} AS MATERIALIZED (SELECT community AS c FROM turn, th WHERE r = {i} AND (SELECT count(*) FROM {now} x WHERE x.community = turn.community) < t),
+l{i} AS MATERIALIZED (SELECT c, y.community AS target, sum(weight) AS w FROM adj JOIN {now} x ON x.node = adj.src JOIN c{i} ON x.community = c JOIN {now} y ON y.node = adj.dst AND y.community <> c GROUP BY 1, 2),
+t{i} AS MATERIALIZED (SELECT c, arg_min(target, (-gain, target)) AS target FROM (SELECT c, target, {gain} AS gain FROM l{i} {more}) GROUP BY 1),
+m{i} AS MATERIALIZED (SELECT node, coalesce(target, community) AS community FROM {now} LEFT JOIN t{i} ON c = community)"""
+    return out
+
+
+def merge_cover_steps_sql(steps: int) -> str:
+    out = TURNS
+    for i in range(1, steps + 1):
+        now = f"m{i - 1}"
+        out += f""",
+c{i} AS MATERIALIZED (SELECT community AS c FROM turn WHERE r = {i}),
+o{i} AS MATERIALIZED (SELECT c, node FROM {now} JOIN c{i} ON community = c),
+l{i} AS MATERIALIZED (SELECT c, community AS target, 1 AS kind, count(*)::DOUBLE AS w FROM o{i} JOIN {now} USING (node) WHERE community <> c GROUP BY 1, 2
+  UNION ALL SELECT c, community, 2, sum(weight) FROM o{i} JOIN adj ON adj.src = o{i}.node JOIN {now} x ON x.node = adj.dst WHERE community <> c GROUP BY 1, 2),
+t{i} AS MATERIALIZED (SELECT c, arg_min(target, (kind, -w, target)) AS target FROM l{i} GROUP BY 1),
+m{i} AS MATERIALIZED (SELECT DISTINCT node, coalesce(target, community) AS community FROM {now} LEFT JOIN t{i} ON c = community)"""
+    return out
+
+
+def numbered(last: str) -> str:
+    return f"SELECT node, dense_rank() OVER (ORDER BY community) - 1 AS community FROM {last}"
+
+
+def uneven(g: Graph) -> detect.CommunityResult:
+    small, large = 1000 + F.col("id") % 80, F.col("id") % 5
+    return detect.CommunityResult(g.vertices.select(F.col("id").alias("node"), F.when(F.col("id") % 10 == 0, small).otherwise(large).alias("community")), 0.0, 1, 0)
+
+
+def covered(g: Graph) -> ego.OverlappingResult:
+    i = F.col("id")
+    of = lambda kept, c: g.vertices.filter(kept).select(i.alias("node"), c.alias("community"))
+    return ego.OverlappingResult(of(i % 50 != 7, i % 5).unionByName(of(i % 10 == 0, 100 + i % 40)).unionByName(of(i % 50 == 7, 200 + i % 100)))
+
+
+def merged(strategy: str, local_rows: int) -> Query:
+    def run(spark, d):
+        g = part_graph(spark, d)
+        return merge.merge_communities(g, uneven(g), merge.MergeOptions(min_fraction=0.1, strategy=strategy), local_rows).partition
+
+    return run
+
+
+def merged_cover(local_rows: int) -> Query:
+    def run(spark, d):
+        g = part_graph(spark, d)
+        return merge.merge_overlapping(g, covered(g), merge.MergeOptions(min_fraction=0.1), local_rows).memberships
+
+    return run
+
+
+for _name, _rows in (("merge_{}", merge.LOCAL_ROWS), ("merge_{}_rounds", 0)):
+    for _strategy in ("connectivity", "modularity"):
+        QUERIES[_name.format(_strategy)] = merged(_strategy, _rows)
+        SQL[_name.format(_strategy)] = whole_sql(numbered("m8"), UNEVEN, merge_steps_sql(8, _strategy))
+    QUERIES[_name.format("overlapping")] = merged_cover(_rows)
+    SQL[_name.format("overlapping")] = whole_sql(numbered("m6"), COVER, merge_cover_steps_sql(6))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
@@ -585,4 +740,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-__all__ = ["co_occurrence", "oracle_sql", "queries"]
+__all__ = ["oracle_sql", "queries"]
