@@ -1,16 +1,14 @@
 """Small graphs with known answers."""
 
+from pathlib import Path
+
 import numpy as np
 
-#: The karate club of Zachary (1977), by neighbours of higher id, and the club each member joined.
-KARATE = {
-    0: [1, 2, 3, 4, 5, 6, 7, 8, 10, 11, 12, 13, 17, 19, 21, 31], 1: [2, 3, 7, 13, 17, 19, 21, 30], 2: [3, 7, 8, 9, 13, 27, 28, 32], 3: [7, 12, 13],
-    4: [6, 10], 5: [6, 10, 16], 6: [16], 8: [30, 32, 33], 9: [33], 13: [33], 14: [32, 33], 15: [32, 33], 18: [32, 33], 19: [33], 20: [32, 33],
-    22: [32, 33], 23: [25, 27, 29, 32, 33], 24: [25, 27, 31], 25: [31], 26: [29, 33], 27: [33], 28: [31, 33], 29: [32, 33], 30: [32, 33], 31: [32, 33], 32: [33],
-}
+#: tests/fixtures/karate.csv is the karate club of Zachary (1977), members numbered from 0; these joined the officer's club.
 OFFICER = {8, 9, 14, 15, 18, 20, 22, 23, 24, 25, 26, 27, 28, 29, 30, 31, 32, 33}
 
-KARATE_EDGES = [(a, b) for a, own in KARATE.items() for b in own]
+_LINES = (Path(__file__).parent / "fixtures" / "karate.csv").read_text().split()[1:]
+KARATE_EDGES = [tuple(map(int, line.split(","))) for line in _LINES]
 KARATE_CLUBS = [(n, int(n in OFFICER)) for n in range(34)]
 TRIANGLES = [(0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5)]
 

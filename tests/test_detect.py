@@ -48,6 +48,75 @@ def test_distributed_is_the_same_as_local(spark):
         assert sorted(a.partition.collect()) == sorted(b.partition.collect()) and a.modularity == pytest.approx(b.modularity) and (a.passes, a.moves) == (b.passes, b.moves)
 
 
+def test_distributed_is_the_same_on_weights_and_ties(spark):
+    """Weights that tie often, a self-loop, parallel rows and a lone node."""
+    rng = np.random.default_rng(3)
+    src, dst = random_edges(40, 90, 3)
+    edges = [(int(a), int(b), float(w)) for a, b, w in zip(src, dst, rng.choice([1.0, 2.0, 0.5], len(src)))] + [(5, 5, 3.0)]
+    g = graph(spark, edges, nodes=range(42))
+    for far, near in ((L(LO(seed=4, max_passes=2, buckets=3, local_threshold=0)), L(LO(seed=4, max_passes=2, buckets=3))), (E(EO(seed=4, max_iterations=2, buckets=3, local_threshold=0)), E(EO(seed=4, max_iterations=2, buckets=3)))):
+        a, b = far.detect(g), near.detect(g)
+        assert sorted(a.partition.collect()) == sorted(b.partition.collect()) and (a.passes, a.moves) == (b.passes, b.moves)
+
+
+#: Graphs of the shape of the college football and the political books networks: groups, size, chances of an edge inside and across.
+SHAPED = {"football": (12, 10, 0.76, 0.035), "books": (3, 35, 0.22, 0.012)}
+
+
+@pytest.mark.parametrize("name", SHAPED)
+def test_accuracy_on_shaped_graphs(spark, name):
+    edges, truth = planted(*SHAPED[name], seed=5)
+    g = graph(spark, edges, nodes=[n for n, _ in truth])
+    for d in (L(LO(seed=2)), E(EO(seed=2))):
+        assert one(metrics.nmi(d.detect(g).partition, part(spark, truth))) >= 0.9
+    found = ego.EgoSplitting(SPLIT).detect(g)
+    invariants(g, found)
+    assert one(metrics.omega_index(found.memberships, part(spark, truth), g.vertices.selectExpr("id AS node"))) > 0.0
+
+
+def test_accuracy_on_karate(spark):
+    g = graph(spark, KARATE_EDGES)
+    clubs = part(spark, KARATE_CLUBS)
+    for d in (L(LO(seed=2)), E(EO(seed=2))):
+        assert one(metrics.nmi(d.detect(g).partition, clubs)) >= 0.6
+
+
+def test_leiden_takes_the_best_of_its_runs(spark, monkeypatch):
+    g = graph(spark, KARATE_EDGES)
+    monkeypatch.setattr(detect.time, "time_ns", lambda: 7)
+    best = E(EO(num_runs=4)).detect(g)
+    each = [E(EO(seed=7 + k)).detect(g).modularity for k in range(4)]
+    assert best.modularity == max(each)
+    assert E(EO(seed=9, num_runs=4)).detect(g).modularity == E(EO(seed=9)).detect(g).modularity  # a seed means one run
+
+
+def test_detectors_run_side_by_side(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    g = graph(spark, KARATE_EDGES)
+    d = L(LO(seed=3))
+    with ThreadPoolExecutor(4) as pool:
+        found = list(pool.map(lambda _: sorted(d.detect(g).partition.collect()), range(4)))
+    assert all(f == found[0] for f in found)
+
+
+def test_update_is_a_full_run_of_the_changed_graph(spark):
+    """Parts as a full run gives them: ego nets and persona edges after an update equal those made anew, but for persona ids."""
+    g = graph(spark, KARATE_EDGES)
+    o = online.OnlineEgoSplitting(SPLIT)
+    new = spark.createDataFrame([(16, 24, 2.0), (0, 34, 1.0), (0, 1, 1.0)], EDGES)
+    after = g.add_edges(new)
+    found = o.update(after, online.GraphDelta(spark.createDataFrame([(34,)], "id long"), new), o.detect(g)).state
+    whole = o.detect(after).state
+    assert sorted(found.ego_partition.collect()) == sorted(whole.ego_partition.collect())
+
+    def shown(state):
+        name = {r.persona_id: (r.node, r.local_comm) for r in state.personas.collect()}
+        return sorted((*sorted((name[r.src], name[r.dst])), r.weight) for r in state.persona_edges.collect())
+
+    assert shown(found) == shown(whole)
+
+
 def test_many_graphs_at_once():
     rng = np.random.default_rng(0)
     ids, group, src, dst, w, alone, at = [], [], [], [], [], [], 0
