@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshlight.runtime import cut, ensure_checkpoint_dir, ensure_importable, table
+from meshlight.runtime import cut, ensure_importable, session_folder, table
 
-__all__ = ["BoundedCache", "arrow_map", "crc_fold", "cut", "doc_text", "ensure_checkpoint_dir", "ensure_importable", "table", "texts_of"]
+__all__ = ["BoundedCache", "arrow_map", "crc_fold", "cut", "doc_text", "ensure_importable", "session_folder", "table", "texts_of"]
 
 
 def doc_text(column: str = "text") -> Column:
