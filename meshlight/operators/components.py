@@ -38,7 +38,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 def _mark(e: DataFrame) -> tuple:
     """Equal before and after a round only if the edge set stayed the same, up to hash collisions."""
     h = F.xxhash64("u", "v")
-    r = e.agg(F.count(F.lit(1)), F.sum(F.shiftrightunsigned(h, 16)), F.bit_xor(h)).first()
+    r = e.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(20,0)")), F.bit_xor(h)).first()
     return tuple(r)
 
 
