@@ -137,6 +137,13 @@ def test_components(spark, edges):
     assert dict(found.collect()) == {n: find(n) for n in root}
 
 
+def test_components_of_many_edges(spark):
+    """More edges than a sum of shortened hashes would bear."""
+    edges = spark.range(1, 200_000).selectExpr("id AS src", "id - id % 100 AS dst")
+    found = connected_components(edges)
+    assert found.count() == 200_000 and found.filter("component <> node - node % 100").count() == 0
+
+
 def test_empty_graph(spark):
     g = empty(spark)
     assert one(g.node_count()) == 0 and one(g.edge_count()) == 0 and one(g.total_weight()) == 0.0 and g.strength().count() == 0
