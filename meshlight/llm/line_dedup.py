@@ -5,8 +5,9 @@ window, known by two 64-bit hashes. Of a window that occurs more than once
 anywhere, the first occurrence (lowest doc_id, then position) stays and the
 lines of all later ones go; overlapping windows are merged by position, so a
 long repeated passage goes as a whole. Windows of blank lines only don't
-count. Documents of fewer than three lines have no window and stay as they
-are, as do null (treated as empty) and empty texts. A place is a doc_id and a
+count, so null (treated as empty) and empty texts stay as they are. A document
+of fewer than three lines is one window as a whole: it matches only documents
+equal to it, of which later ones lose all their lines. A place is a doc_id and a
 text (by its 64-bit hash): rows that repeat both keep or lose the same lines,
 other texts of the same id are texts of their own, and rows without an id come
 after those with one.
@@ -30,23 +31,22 @@ DIGEST = "__dedup_digest"
 
 
 def line_windows(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """(doc_id, digest of the text, pos, h1, h2) for each window of lines; pos counts lines from 0."""
-    lines = F.split(F.col("text"), "\n", -1)
-    some = docs.filter(F.size(lines) >= span).select("doc_id", F.xxhash64("text").alias(DIGEST), lines.alias("lines"))
+    """(doc_id, digest of the text, pos, h1, h2) for each window of lines, one at least; pos counts lines from 0."""
+    some = docs.select("doc_id", F.xxhash64("text").alias(DIGEST), F.split(F.col("text"), "\n", -1).alias("lines"))
     hashed = some.select(
         "doc_id",
         DIGEST,
         F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"), (F.length(F.trim(x)) == 0).alias("blank"))).alias("h"),
     )
-    windows = F.transform(F.sequence(F.lit(0), F.size("h") - span), lambda i: _window(i, span))
+    windows = F.transform(F.sequence(F.lit(0), F.greatest(F.size("h") - span, F.lit(0))), lambda i: _window(i, span))
     return hashed.select("doc_id", DIGEST, F.inline(F.filter(windows, lambda w: ~w["blank"]))).drop("blank")
 
 
 def _window(i: Column, span: int) -> Column:
-    own = [F.element_at("h", i + k + 1) for k in range(span)]
+    own = [F.get("h", i + k) for k in range(span)]  # null beyond the end, which the hashes skip
     blank = own[0]["blank"]
     for x in own[1:]:
-        blank = blank & x["blank"]
+        blank = blank & F.coalesce(x["blank"], F.lit(True))
     return F.struct(i.alias("pos"), F.xxhash64(*(x["a"] for x in own)).alias("h1"), F.xxhash64(*(x["b"] for x in own)).alias("h2"), blank.alias("blank"))
 
 
@@ -70,12 +70,13 @@ def dedup_lines(docs: DataFrame, span: int = SPAN, salts: int = SALTS, counts: t
     starts = later_windows(line_windows(docs.select("doc_id", "text"), span), salts).select(F.col("doc_id").alias("__dedup_id"), DIGEST, F.col("starts").alias("__dedup_starts"))
     joined = docs.join(starts.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__dedup_id")) & (F.xxhash64("text") == F.col(DIGEST)), "left")
     lines = F.split(F.col("text"), "\n", -1)
-    gone = F.array_distinct(F.flatten(F.transform("__dedup_starts", lambda s: F.sequence(s, s + span - 1))))
+    last = F.col("__dedup_n") - 1
+    gone = F.array_distinct(F.flatten(F.transform("__dedup_starts", lambda s: F.sequence(s, F.least(s + span - 1, last)))))
     # a lambda over an array of one holds the lines, so that they are split once and fetched by position
     kept = F.transform(F.array(lines), lambda own: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("__dedup_gone")), lambda i: F.get(own, i)), "\n"))[0]
-    shown = joined.withColumn("__dedup_gone", gone)
+    shown = joined.withColumn("__dedup_n", F.size(lines)).withColumn("__dedup_gone", gone)
     text = F.when(F.col("__dedup_starts").isNull(), F.col("text")).otherwise(kept)
-    more = (F.size(lines).cast("long"), F.coalesce(F.size("__dedup_gone").cast("long"), F.lit(0).cast("long")))
+    more = (F.col("__dedup_n").cast("long"), F.coalesce(F.size("__dedup_gone").cast("long"), F.lit(0).cast("long")))
     return shown.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns), *(v.alias(k) for k, v in zip(counts, more)))
 
 
@@ -87,14 +88,14 @@ ORACLE = r"""
 WITH lines AS (
   SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
 ), w AS (
-  SELECT doc_id, unnest(range(0, len(l) - 2)) AS pos, l FROM lines WHERE len(l) >= 3
+  SELECT doc_id, unnest(range(0, greatest(len(l) - 2, 1))) AS pos, l FROM lines
 ), s AS (
-  SELECT doc_id, pos, l[pos + 1 : pos + 3] AS win FROM w
+  SELECT doc_id, pos, len(l) AS n, l[pos + 1 : pos + 3] AS win FROM w
 ), r AS (
-  SELECT doc_id, pos, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS rn
-  FROM s WHERE NOT (trim(win[1], ' ') = '' AND trim(win[2], ' ') = '' AND trim(win[3], ' ') = '')
+  SELECT doc_id, pos, n, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS rn
+  FROM s WHERE len(list_filter(win, lambda x: trim(x, ' ') <> '')) > 0
 ), g AS (
-  SELECT doc_id, list(DISTINCT pos + k) AS gone FROM r, range(0, 3) AS t(k) WHERE rn > 1 GROUP BY doc_id
+  SELECT doc_id, list(DISTINCT pos + k) AS gone FROM r, range(0, 3) AS t(k) WHERE rn > 1 AND pos + k < n GROUP BY doc_id
 )
 SELECT lines.doc_id,
        array_to_string(list_transform(list_filter(range(0, len(l)), lambda i: NOT coalesce(list_contains(gone, i), false)), lambda i: l[i + 1]), chr(10)) AS text,

@@ -17,12 +17,12 @@ def brute_lines(rows):
     for i, text in sorted(rows.items()):
         lines = (text or "").split("\n")
         gone = set()
-        for p in range(len(lines) - 2):
+        for p in range(max(len(lines) - 2, 1)):
             w = tuple(lines[p : p + 3])
             if all(not x.strip(" ") for x in w):
                 continue
             if w in seen:
-                gone |= {p, p + 1, p + 2}
+                gone |= {*range(p, min(p + 3, len(lines)))}
             seen.setdefault(w, (i, p))
         out[i] = ("\n".join(x for p, x in enumerate(lines) if p not in gone), len(lines), len(gone))
     return out

@@ -99,3 +99,11 @@ def test_line_dedup_by_id_and_text(spark):
     found = line_dedup.dedup_lines(spark.createDataFrame(held, "doc_id long, text string").repartition(3), salts=3).collect()
     want = [(1, first), (2, "x"), (2, second + "\ny"), (None, "z"), (None, ""), (9, third + "\nw"), (9, third + "\nw")]
     assert sorted(((r.doc_id, r.text) for r in found), key=str) == sorted(want, key=str)
+
+
+def test_line_dedup_of_short_documents(spark):
+    held = [(1, "a b"), (2, "a b"), (3, "a b\nc"), (4, "a b\nc"), (5, "a b\nc\nd"), (6, "x\na b\nc"), (7, ""), (8, None), (9, " \n"), (10, " \n"), (None, "a b")]
+    found = line_dedup.dedup_lines(spark.createDataFrame(held, "doc_id long, text string").repartition(3), salts=3).collect()
+    want = dict(held) | {2: "", 4: "", 8: "", None: ""}
+    assert {r.doc_id: r.text for r in found} == want
+    assert {r.doc_id: (r.n_lines, r.lines_removed) for r in found if r.lines_removed} == {2: (1, 1), 4: (2, 2), None: (1, 1)}
