@@ -19,7 +19,9 @@ repeat are reported each. A document and item give one row, the best region
 
 The items are sent to the tasks in blocks of at most ``block_mb``, whatever
 the benchmark's size: each block passes over the documents in turn. Documents
-are read once for each block and never shuffled.
+are read once for each block and never shuffled. Where texts repeat one pattern,
+shared q-grams are as many as document times item; they are taken document by
+document, item by item and band by band, so memory stays bounded.
 """
 
 from __future__ import annotations
@@ -35,6 +37,9 @@ from .common import arrow_map, doc_text, texts_of
 
 Q, BUDGET, BLOCK_MB = 8, 0.1, 16
 CHUNK = 1 << 20
+#: Shared q-grams that are held at once, about; more are taken in parts.
+MOST = 1 << 20
+Hits = tuple[np.ndarray, np.ndarray, np.ndarray]
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BITS = 22
 SCHEMA = "doc_id long, item_id long, start_byte long, length_bytes long, edits long"
@@ -54,6 +59,11 @@ def gram_size(m: int, k: int) -> int:
     return min(Q, m // (k + 1))
 
 
+def runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each run, n of them, one run after the other."""
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 class GramTable:
     """The q-grams of the items that have this q."""
 
@@ -72,19 +82,83 @@ class GramTable:
     def slot(g: np.ndarray) -> np.ndarray:
         return (g * MIX) >> np.uint64(64 - BITS)
 
-    def hits(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position in the data, item, position in the item) of every shared q-gram."""
+    def matches(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position in the data, number of its q-gram) wherever the data have a q-gram of the items."""
         g = windows[: max(0, len(windows) - self.q + 1)]
         g = g if self.q == Q else g & self.mask
         at = np.flatnonzero(self.seen[self.slot(g)])
         k = np.searchsorted(self.distinct, g[at])
         k[k == len(self.distinct)] = 0
         same = self.distinct[k] == g[at]
-        at, k = at[same], k[same]
+        return at[same], k[same]
+
+    def hits(self, at: np.ndarray, k: np.ndarray) -> Hits:
         n = self.times[k]
-        entry = np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        entry = runs(self.first[k], n)
         return np.repeat(at, n), self.item[entry], self.pos[entry]
 
+    def hits_in_parts(self, at: np.ndarray, k: np.ndarray, size: int, edits: np.ndarray, need: np.ndarray) -> Iterator[Hits]:
+        """The same for one document of ``size`` bytes in parts of about MOST: all of an item in one part, or its bands in turn.
+
+        An item's q-gram that stands in more places than there are bands is
+        given once for each band, which is how often it counts there.
+        """
+        at = at[np.argsort(k, kind="stable")]
+        own, times = np.unique(k, return_counts=True)
+        first = np.cumsum(times) - times
+        n = self.times[own]
+        entry, gram = runs(self.first[own], n), np.repeat(np.arange(len(own)), n)
+        order = np.argsort(self.item[entry], kind="stable")
+        gram, item, pos = gram[order], self.item[entry][order], self.pos[entry][order]
+        enough = np.bincount(item, minlength=len(need))[item] >= need[item]
+        gram, item, pos = gram[enough], item[enough], pos[enough]
+        ids, begins = np.unique(item, return_index=True)
+        sizes = np.add.reduceat(times[gram], begins) if len(ids) else np.zeros(0, np.int64)
+        part: list[slice] = []
+        held = 0
+        for i, begin, end, n in zip(ids.tolist(), begins.tolist(), [*begins[1:].tolist(), len(item)], sizes.tolist()):
+            if n > MOST:
+                yield from self._bands_in_turn(at, first, times, gram[begin:end], i, pos[begin:end], int(edits[i]) + 1, size)
+                continue
+            if held + n > MOST and part:
+                yield self._places(at, first, times, gram, item, pos, part)
+                part, held = [], 0
+            part.append(slice(begin, end))
+            held += n
+        if part:
+            yield self._places(at, first, times, gram, item, pos, part)
+
+    @staticmethod
+    def _places(at: np.ndarray, first: np.ndarray, times: np.ndarray, gram: np.ndarray, item: np.ndarray, pos: np.ndarray, part: list[slice]) -> Hits:
+        gram, item, pos = (np.concatenate([x[s] for s in part]) for x in (gram, item, pos))
+        n = times[gram]
+        return at[runs(first[gram], n)], np.repeat(item, n), np.repeat(pos, n)
+
+    @staticmethod
+    def _bands_in_turn(at: np.ndarray, first: np.ndarray, times: np.ndarray, gram: np.ndarray, item: int, pos: np.ndarray, step: int, size: int) -> Iterator[Hits]:
+        """One hit for each position in the item and band that has any; consecutive parts share a band."""
+        each = max(2, MOST // len(pos))
+        by = np.argsort(gram, kind="stable")
+        gram, pos = gram[by], pos[by]
+        grams_, begins = np.unique(gram, return_index=True)
+        spans = list(zip(grams_.tolist(), begins.tolist(), [*begins[1:].tolist(), len(gram)]))
+        for low in range(-(int(pos.max()) // step) - 1, size // step + 1, each):
+            bands = np.arange(low, low + each + 1)
+            places, where = [], []
+            for g, begin, end in spans:
+                own = at[first[g] : first[g] + times[g]]
+                from_ = pos[begin:end, None] + step * bands
+                n = np.searchsorted(own, from_)
+                there = n < len(own)
+                n[~there] = 0
+                there &= own[n] < from_ + step
+                places.append(own[n[there]])
+                where.append(np.broadcast_to(pos[begin:end, None], from_.shape)[there])
+            found = np.concatenate(places)
+            if len(found):
+                order = np.argsort(found, kind="stable")
+                yield found[order], np.full(len(found), item, np.int64), np.concatenate(where)[order]
+
 
 class ItemIndex:
     """The q-grams of a block of items."""
@@ -99,11 +173,25 @@ class ItemIndex:
         numbers = {q: [n for n, own in enumerate(sizes) if own == q] for q in sorted(set(sizes))}
         self.tables = [GramTable(q, own, [self.texts[n] for n in own]) for q, own in numbers.items()]
 
-    def hits(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position in data, item, position in item) of every shared q-gram."""
-        windows, none = grams(data), np.zeros(0, np.int64)
-        found = [t.hits(windows) for t in self.tables]
-        return tuple(np.concatenate([none, *(f[k] for f in found)]) for k in range(3))
+    def hits(self, data: bytes, borders: np.ndarray) -> Iterator[Hits]:
+        """(position in data, item, position in item) of every shared q-gram, in parts if they are many.
+
+        Documents are then taken one by one, and no q-gram spans two, as folded
+        texts have no line feed.
+        """
+        windows = grams(data)
+        found = [t.matches(windows) for t in self.tables]
+        if sum(int(t.times[k].sum()) for t, (_, k) in zip(self.tables, found)) <= MOST:
+            none = np.zeros(0, np.int64)
+            own = [t.hits(*f) for t, f in zip(self.tables, found)]
+            yield tuple(np.concatenate([none, *(f[k] for f in own)]) for k in range(3))
+        elif len(borders) > 1:
+            for a, b in zip(borders.tolist(), [*borders[1:].tolist(), len(data) + 1]):
+                for at, item, pos in self.hits(data[a : b - 1], borders[:1]):
+                    yield at + a, item, pos
+        else:
+            for t, (at, k) in zip(self.tables, found):
+                yield from t.hits_in_parts(at, k, len(data), self.edits, self.need)
 
 
 def goes_on(c: int) -> bool:
@@ -162,19 +250,28 @@ def banded(item: bytes, region: bytes, low: int, high: int, most: int) -> tuple[
 
 
 def leaks_in(index: ItemIndex, data: bytes, borders: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """(document's number, item, start, length, edits): for each document and item the first best band."""
-    at, item, pos = index.hits(data)
+    """(document's number, item, start, length, edits): for each document and item the first best band, of those with the same edits the one of most hits."""
+    whole: dict[tuple[int, int], int] = {}
+    found: dict[tuple[int, int], tuple[int, int, int, int, int]] = {}
+    for hits in index.hits(data, borders):
+        _search_bands(index, data, borders, *hits, whole, found)
+    return [(d, i, a - int(borders[d]), len(index.texts[i]), 0) for (d, i), a in whole.items()] + [(d, i, s, n, e) for (d, i), (e, _, _, s, n) in found.items()]
+
+
+def _search_bands(index: ItemIndex, data: bytes, borders: np.ndarray, at: np.ndarray, item: np.ndarray, pos: np.ndarray, whole: dict, found: dict) -> None:
+    """Adds to ``whole`` where items stand that allow no edit, to ``found`` (edits, -hits, band, start, length) of the others."""
     doc = np.searchsorted(borders, at, side="right") - 1
-    whole = [] if index.edits.all() else standing(index, data, borders, *(x[(index.edits[item] == 0) & (pos == 0)] for x in (at, item, doc)))
+    if not index.edits.all():
+        standing(index, data, *(x[(index.edits[item] == 0) & (pos == 0)] for x in (at, item, doc)), whole)
     at, item, pos, doc = (x[index.edits[item] > 0] for x in (at, item, pos, doc))
     if not len(at):
-        return whole
+        return
     # a document and item with too few hits in all need no bands
     pairs, pair, n = np.unique(doc * len(index.ids) + item, return_inverse=True, return_counts=True)
     enough = n[pair] >= index.need[item]
     at, item, pos, doc, pair = at[enough], item[enough], pos[enough], doc[enough], pair[enough]
     if not len(at):
-        return whole
+        return
     step = index.edits[item] + 1
     upper = np.floor_divide(at - borders[doc] - pos, step)
     # band b covers diagonals from b * step on, over two steps; a q-gram of the item counts once in a band
@@ -187,11 +284,10 @@ def leaks_in(index: ItemIndex, data: bytes, borders: np.ndarray) -> list[tuple[i
     own = pairs[key // width] % len(index.ids)
     full = count >= index.need[own]
     key, count, own = key[full], count[full], own[full]
-    found: dict[tuple[int, int], tuple[int, int, int]] = {}
     # the band with the most hits first; an exact match ends the search for its item
     todo = sorted(zip((pairs[key // width] // len(index.ids)).tolist(), own.tolist(), bands[key % width].tolist(), (-count).tolist()), key=lambda x: (x[0], x[1], x[3]))
-    for d, i, b, _ in todo:
-        if (d, i) in found and found[d, i][0] == 0:
+    for d, i, b, n in todo:
+        if (d, i) in found and found[d, i][:3] <= (0, n, b):
             continue
         k, text = int(index.edits[i]), index.texts[i]
         low = b * (k + 1)
@@ -202,18 +298,15 @@ def leaks_in(index: ItemIndex, data: bytes, borders: np.ndarray) -> list[tuple[i
         region = data[begin + own_low : begin + own_high]
         exact = region.find(text)
         best = (0, exact, exact + len(text)) if exact >= 0 else banded(text, region, low - k - own_low, high + k - own_low, k)
-        if best and ((d, i) not in found or best[0] < found[d, i][0]):
-            found[d, i] = (best[0], own_low + best[1], best[2] - best[1])
-    return whole + [(d, i, s, n, e) for (d, i), (e, s, n) in found.items()]
+        if best and ((d, i) not in found or (best[0], n, b) < found[d, i][:3]):
+            found[d, i] = (best[0], n, b, own_low + best[1], best[2] - best[1])
 
 
-def standing(index: ItemIndex, data: bytes, borders: np.ndarray, at: np.ndarray, item: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+def standing(index: ItemIndex, data: bytes, at: np.ndarray, item: np.ndarray, doc: np.ndarray, whole: dict[tuple[int, int], int]) -> None:
     """The first place in each document at which an item that allows no edit stands alone."""
-    found: dict[tuple[int, int], int] = {}
     for a, i, d in zip(at.tolist(), item.tolist(), doc.tolist()):
-        if (d, i) not in found and alone(index.texts[i], data, a):
-            found[d, i] = a
-    return [(d, i, a - int(borders[d]), len(index.texts[i]), 0) for (d, i), a in found.items()]
+        if (d, i) not in whole and alone(index.texts[i], data, a):
+            whole[d, i] = a
 
 
 def search(index: ItemIndex, ids: list, texts: list[str]) -> list[tuple]:

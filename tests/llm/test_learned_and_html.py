@@ -43,6 +43,28 @@ def test_leaks_match_full_alignment():
                 assert got[0][4] == want and sellers(own, text[got[0][2] : got[0][2] + got[0][3]]) == want
 
 
+def test_hits_in_parts_give_the_same_leaks(monkeypatch):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("ab" if rng.random() < 0.5 else "abc ") for _ in range(n))
+    seen = 0
+    for _ in range(40):
+        items = [(i, word(rng.randint(1, 12)) * rng.randint(1, 8)) for i in range(6)]
+        texts = ["", *(word(rng.randint(0, 20)) * rng.randint(1, 10) + rng.choice(items)[1] * rng.randint(1, 3) + word(9) for _ in range(4))]
+        found = {}
+        for most in (1 << 40, 0, 50, 700):
+            monkeypatch.setattr(decontaminate, "MOST", most)
+            found[most] = sorted(decontaminate.search(decontaminate.ItemIndex(items), list(range(len(texts))), texts))
+        assert all(own == found[1 << 40] for own in found.values())
+        seen += len(found[0])
+    assert seen > 100
+
+
+def test_one_pattern_throughout_a_long_text():
+    text = "-=" * 200_000 + "=" * 300_000  # 22 million shared q-grams
+    (leak,) = decontaminate.search(decontaminate.ItemIndex([(1, "=" * 80)]), [7], [text])
+    assert leak[:2] == (7, 1) and leak[4] == 0 and text[leak[2] : leak[2] + leak[3]] == "=" * 80
+
+
 def test_decontamination(spark, rows, docs, none):
     long_text = next(r[1] for r in rows if r[1] and len(r[1]) > 9000)
     passage = long_text[5000:5200]
