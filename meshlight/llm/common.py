@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from meshlight.runtime import cut, ensure_importable, session_folder, table
 
-__all__ = ["BoundedCache", "arrow_map", "crc_fold", "cut", "doc_text", "ensure_importable", "session_folder", "table", "texts_of"]
+__all__ = ["BoundedCache", "arrow_map", "crc_fold", "cut", "doc_text", "ensure_importable", "session_folder", "table", "texts_of", "unused"]
 
 
 def doc_text(column: str = "text") -> Column:
@@ -23,6 +23,13 @@ def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", doc_text().alias("text"), *more)
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A beginning of column names that no column of ``df`` has: the stem, after underscores if need be."""
+    while any(c.lower().startswith(stem) for c in df.columns):
+        stem = f"_{stem}"
+    return stem
+
+
 def crc_fold(doc_id: str = "doc_id", folds: int = 3) -> Column:
     """crc32 of the id's decimal text, modulo the number of folds."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import texts_of, unused
 
 SALTS, SPAN = 64, 3
 DIGEST = "__dedup_digest"
@@ -67,16 +67,17 @@ def dedup_lines(docs: DataFrame, span: int = SPAN, salts: int = SALTS, counts: t
     The counts replace columns of their names; all other columns pass through.
     """
     docs = docs.drop(*counts).withColumn("text", F.coalesce("text", F.lit("")))
-    starts = later_windows(line_windows(docs.select("doc_id", "text"), span), salts).select(F.col("doc_id").alias("__dedup_id"), DIGEST, F.col("starts").alias("__dedup_starts"))
-    joined = docs.join(starts.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__dedup_id")) & (F.xxhash64("text") == F.col(DIGEST)), "left")
+    id_, digest, at, n, dropped = (unused(docs, "__dedup") + c for c in ("_id", "_digest", "_starts", "_n", "_gone"))
+    starts = later_windows(line_windows(docs.select("doc_id", "text"), span), salts).select(F.col("doc_id").alias(id_), F.col(DIGEST).alias(digest), F.col("starts").alias(at))
+    joined = docs.join(starts.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(digest)), "left")
     lines = F.split(F.col("text"), "\n", -1)
-    last = F.col("__dedup_n") - 1
-    gone = F.array_distinct(F.flatten(F.transform("__dedup_starts", lambda s: F.sequence(s, F.least(s + span - 1, last)))))
+    last = F.col(n) - 1
+    gone = F.array_distinct(F.flatten(F.transform(at, lambda s: F.sequence(s, F.least(s + span - 1, last)))))
     # a lambda over an array of one holds the lines, so that they are split once and fetched by position
-    kept = F.transform(F.array(lines), lambda own: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("__dedup_gone")), lambda i: F.get(own, i)), "\n"))[0]
-    shown = joined.withColumn("__dedup_n", F.size(lines)).withColumn("__dedup_gone", gone)
-    text = F.when(F.col("__dedup_starts").isNull(), F.col("text")).otherwise(kept)
-    more = (F.col("__dedup_n").cast("long"), F.coalesce(F.size("__dedup_gone").cast("long"), F.lit(0).cast("long")))
+    kept = F.transform(F.array(lines), lambda own: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col(dropped)), lambda i: F.get(own, i)), "\n"))[0]
+    shown = joined.withColumn(n, F.size(lines)).withColumn(dropped, gone)
+    text = F.when(F.col(at).isNull(), F.col("text")).otherwise(kept)
+    more = (F.col(n).cast("long"), F.coalesce(F.size(dropped).cast("long"), F.lit(0).cast("long")))
     return shown.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns), *(v.alias(k) for k, v in zip(counts, more)))
 
 

@@ -1,4 +1,5 @@
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_counts_and_packing import check_pieces
 from test_duplicates import brute_lines, brute_simhash, components
 
@@ -48,3 +49,16 @@ def test_repeated_rows_and_empty_table(spark, docs, none):
     assert len(ids) == len(set(ids)) and kept.columns == docs.columns
     for stage in (corpus_pipeline.language_id, corpus_pipeline.line_dedup_stage, corpus_pipeline.simhash_stage, corpus_pipeline.packing_stage):
         assert stage(spark, none, "").count() == 0
+
+
+def test_columns_named_like_the_stages_own(spark, docs):
+    names = ["__dedup_id", "__dedup_digest", "__Dedup_starts", "__count_lines", "__count_removed", "__kept_id", "__kept_own", "__kept_digest", "digest", "salt", "component", "own"]
+    clash = docs
+    for name in names:
+        clash = clash.withColumn(name, F.lit(name))
+    for stage in (corpus_pipeline.line_dedup_stage, corpus_pipeline.simhash_stage):
+        got, want = stage(spark, clash, ""), stage(spark, docs, "")
+        assert got.columns == clash.columns
+        rows = got.collect()
+        assert all(r[name] == name for r in rows for name in names)
+        assert sorted((str(r.doc_id), r.text or "") for r in rows) == sorted((str(r.doc_id), r.text or "") for r in want.collect())
