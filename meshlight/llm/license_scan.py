@@ -69,9 +69,11 @@ DIGESTS = {
 #: Spellings that count as the same, after case and punctuation are gone, in this order.
 EQUAL = [("licence", "license"), ("licenced", "licensed"), ("noncommercial", "non commercial"), ("sublicence", "sublicense"), ("organisation", "organization"), ("merchantibility", "merchantability"), ("version", "v"), ("https", "http")]
 
-COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
-#: What the query deletes: no line on which a sentence of a licence goes on. The SQL keeps COPYRIGHT_LINE, as RE2 has no lookahead.
-OWNER_LINE = r"(?m)^[ \t]*(?:copyright\b(?![ \t]+(?:notices?|holders?|owners?|law|licen[sc]es?|statements?|and|or|in|to|interest|treaty|disclaimers?)\b)|\(c\)(?![ \t]+(?:you|an?|any|all|if|to|in|by|use|such|this)\b)|©|all rights reserved)[^\n]*$"
+#: What owner lines begin with, and what such a line goes on with if a sentence of a licence does; the SQL asks for the two one by one, as RE2 has no lookahead.
+NOTICE, MARK = r"[ \t]+(?:notices?|holders?|owners?|law|licen[sc]es?|statements?|and|or|in|to|interest|treaty|disclaimers?)\b", r"[ \t]+(?:you|an?|any|all|if|to|in|by|use|such|this)\b"
+OWNER = r"^[ \t]*(?:copyright\b|\(c\)|©|all rights reserved)"
+SENTENCE = rf"^[ \t]*(?:copyright{NOTICE}|\(c\){MARK})"
+OWNER_LINE = rf"(?m)^[ \t]*(?:copyright\b(?!{NOTICE})|\(c\)(?!{MARK})|©|all rights reserved)[^\n]*$"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 OPEN_THE = r"\b(under|identifier) the "
 NUMBERED = r"\bv ?([0-9]+)(?: 0)?\b"
@@ -107,7 +109,7 @@ def known() -> dict[str, str]:
 
 @cache
 def known_whole() -> dict[str, str]:
-    """The entire texts that only the query knows, and headings as published files write them."""
+    """Further entire texts, and headings as published files write them."""
     heads = [("MIT", f"The MIT License (MIT)\n{TEXTS['MIT']}"), ("MIT", f"The MIT License\n{TEXTS['MIT']}"), ("ISC", f"The ISC License\n{TEXTS['ISC']}"), ("BSD-3-Clause", f"BSD 3-Clause License\n{TEXTS['BSD-3-Clause']}"), ("BSD-3-Clause", f"The 3-Clause BSD License\n{TEXTS['BSD-3-Clause']}"), ("BSD-3-Clause", TEXTS["BSD-3-Clause"].replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* "))]
     return {hashlib.sha256(canonical_py(t).encode()).hexdigest(): spdx for spdx, t in heads} | {d: spdx for spdx, own in DIGESTS.items() for d in own}
 
@@ -128,16 +130,16 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same as SQL; RE2 writes groups as \\1 and needs no other change here."""
+    """The same as SQL; RE2 writes groups as \\1 and has no lookahead, so owner lines are judged one by one."""
     def canon(x: str) -> str:
-        out = f"regexp_replace(lower({x}), '{COPYRIGHT_LINE}', ' ', 'g')"
+        out = f"array_to_string(list_transform(string_split(lower({x}), chr(10)), lambda l: CASE WHEN regexp_matches(l, '{OWNER}') AND NOT regexp_matches(l, '{SENTENCE}') THEN ' ' ELSE l END), chr(10))"
         out = f"trim(regexp_replace({out}, '{NOT_WORD}', ' ', 'g'), ' ')"
         for spelling, same in EQUAL:
             out = f"regexp_replace({out}, '\\b{spelling}\\b', '{same}', 'g')"
         out = f"regexp_replace({out}, '{OPEN_THE}', '\\1 ', 'g')"
         return f"trim(regexp_replace({out}, '{NUMBERED}', 'v\\1', 'g'), ' ')"
 
-    values = ", ".join(f"('{d}', '{s}')" for d, s in sorted(known().items()))
+    values = ", ".join(f"('{d}', '{s}')" for d, s in sorted((known() | known_whole()).items()))
     return f"""
 WITH known(digest, spdx) AS (VALUES {values}),
 line AS (SELECT DISTINCT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t FROM documents),
