@@ -48,9 +48,15 @@ def bucket_of(ids: np.ndarray, seed: int, buckets: int) -> np.ndarray:
 def dense(*keys: np.ndarray) -> tuple[np.ndarray, int]:
     """Numbers rows from 0 by the order of their keys, the first key first."""
     if len(keys) == 1:
+        low, high = (int(keys[0].min()), int(keys[0].max())) if len(keys[0]) else (0, 0)
+        if high - low < 4 * len(keys[0]):  # few numbers are left out, so marking those present beats sorting
+            there = np.zeros(high - low + 1, bool)
+            there[keys[0] - low] = True
+            number = np.cumsum(there) - 1
+            return number[keys[0] - low], int(number[-1]) + 1
         values, inverse = np.unique(keys[0], return_inverse=True)
         return inverse, len(values)
-    first, _ = np.unique(keys[0], return_inverse=True)[1], 0
+    first = dense(keys[0])[0]
     second, n = dense(*keys[1:])
     return dense(first.astype(np.int64) * max(n, 1) + second)
 
@@ -69,18 +75,40 @@ def both_ways(src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> tuple[np.ndarr
     return np.concatenate([src, dst[turn]]), np.concatenate([dst, src[turn]]), np.concatenate([w, w[turn]])
 
 
-def quality(group: np.ndarray, graphs: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, comm: np.ndarray, resolution: float) -> np.ndarray:
-    """Modularity of each graph; ``comm`` numbers communities across graphs."""
-    a, b, x = both_ways(src, dst, w)
-    two_m = np.bincount(group[src], w, minlength=graphs) * 2
-    safe = np.where(two_m > 0, two_m, 1)
-    intra = np.bincount(group[a], np.where(comm[a] == comm[b], x, 0.0), minlength=graphs)
-    n = int(comm.max()) + 1 if len(comm) else 0
-    degree = np.bincount(comm[a], x, minlength=n)
-    owner = np.zeros(n, np.int64)
-    owner[comm] = group
-    square = np.bincount(owner, degree * degree, minlength=graphs)
-    return np.where(two_m > 0, intra / safe - resolution * square / (safe * safe), 0.0)
+class Quality:
+    """Modularity of each graph; what does not depend on the communities is kept."""
+
+    def __init__(self, group: np.ndarray, graphs: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, resolution: float):
+        self.group, self.graphs, self.src, self.dst, self.resolution = group, graphs, src, dst, resolution
+        turn = src != dst
+        self.owner, self.ends = group[src], np.where(turn, 2 * w, w)  # an edge counts from both ends, a self-loop once
+        self.two_m = np.bincount(self.owner, w, minlength=graphs) * 2
+        self.k = np.bincount(src, w, minlength=len(group)) + np.bincount(dst, np.where(turn, w, 0.0), minlength=len(group))
+
+    def of(self, comm: np.ndarray) -> np.ndarray:
+        """``comm`` numbers communities across graphs."""
+        safe = np.where(self.two_m > 0, self.two_m, 1)
+        same = comm[self.src] == comm[self.dst]
+        intra = np.bincount(self.owner[same], self.ends[same], minlength=self.graphs)
+        degree = np.bincount(comm, self.k)
+        owner = np.zeros(len(degree), np.int64)
+        owner[comm] = self.group
+        square = np.bincount(owner, degree * degree, minlength=self.graphs)
+        return np.where(self.two_m > 0, intra / safe - self.resolution * square / (safe * safe), 0.0)
+
+
+def sort_keys(key: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys, below ``bound``, in order and the place each had; equal ones keep their order.
+
+    The place rides along in the low digits, as sorting numbers is faster than
+    sorting places, wherever both fit 63 bits.
+    """
+    bits = len(key).bit_length()
+    if bound << bits < 1 << 63:
+        both = np.sort(key << bits | np.arange(len(key)))
+        return both >> bits, both & (1 << bits) - 1
+    order = np.argsort(key, kind="stable")
+    return key[order], order
 
 
 def sweep(ids: np.ndarray, group: np.ndarray, graphs: int, edges: tuple, comm: np.ndarray, options: MoveOptions, live: np.ndarray) -> np.ndarray:
@@ -93,8 +121,9 @@ def sweep(ids: np.ndarray, group: np.ndarray, graphs: int, edges: tuple, comm: n
     total = np.bincount(comm, k, minlength=n)
     factor = 4.0 if options.gain == "reference" else 2.0
     bucket = bucket_of(ids, options.seed, options.buckets)
-    by_bucket = np.argsort(bucket[a], kind="stable")
-    bounds = np.searchsorted(bucket[a][by_bucket], np.arange(options.buckets + 1))
+    of_edge = bucket.astype(np.int16)[a] if options.buckets < 1 << 15 else bucket[a]  # short numbers are sorted by digits
+    by_bucket = np.argsort(of_edge, kind="stable")
+    bounds = np.searchsorted(of_edge[by_bucket], np.arange(options.buckets + 1))
     moves = np.zeros(graphs, np.int64)
     for r in range(options.buckets):
         own = np.flatnonzero((bucket == r) & live[group] & (k > 0))
@@ -105,9 +134,8 @@ def sweep(ids: np.ndarray, group: np.ndarray, graphs: int, edges: tuple, comm: n
         node = np.concatenate([a[e], own])
         to = np.concatenate([comm[b[e]], comm[own]])
         weight = np.concatenate([x[e], np.zeros(len(own))])
-        key = node * n + to
-        order = np.argsort(key, kind="stable")
-        key, weight = key[order], weight[order]
+        key, order = sort_keys(node * n + to, n * n)
+        weight = weight[order]
         first = np.flatnonzero(np.concatenate([[True], np.diff(key) != 0]))
         kin = np.add.reduceat(weight, first)
         node, to = key[first] // n, key[first] % n
@@ -150,8 +178,11 @@ def contract(comm: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarray,
     a, b = np.minimum(comm[src], comm[dst]), np.maximum(comm[src], comm[dst])
     x = np.where(src == dst, w / 2, w) if self_loops == "reference" else w
     n = int(comm.max()) + 1 if len(comm) else 1
-    key, inverse = np.unique(a.astype(np.int64) * n + b, return_inverse=True)
-    return key // n, key % n, np.bincount(inverse, x, minlength=len(key))
+    key, order = sort_keys(a.astype(np.int64) * n + b, n * n)
+    first = np.concatenate([[True], np.diff(key) != 0])[: len(key)]
+    number = np.cumsum(first) - 1
+    key = key[first]
+    return key // n, key % n, np.bincount(number, x[order], minlength=len(key))
 
 
 def detect(ids: np.ndarray, group: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarray, options: MoveOptions, initial: np.ndarray | None = None) -> Outcome:
@@ -170,6 +201,7 @@ def detect(ids: np.ndarray, group: np.ndarray, src: np.ndarray, dst: np.ndarray,
     best_q = np.full(graphs, -np.inf)
     passes, moves = np.zeros(graphs, np.int64), np.zeros(graphs, np.int64)
     live = np.bincount(group[src], w, minlength=graphs) > 0
+    quality = Quality(group, graphs, *edges, options.resolution)
     while live.any():
         moved = sweep(level_ids, level_group, graphs, edges, comm, options, live)
         if options.connected:
@@ -177,7 +209,7 @@ def detect(ids: np.ndarray, group: np.ndarray, src: np.ndarray, dst: np.ndarray,
         passes += live
         moves += moved
         found = comm[at]
-        q = quality(group, graphs, src, dst, w, found, options.resolution)
+        q = quality.of(found)
         better = live & (q > best_q + 1e-15)
         best_q = np.where(better, q, best_q)
         best = np.where(better[group], found + len(ids), best)
@@ -198,8 +230,7 @@ def detect(ids: np.ndarray, group: np.ndarray, src: np.ndarray, dst: np.ndarray,
         live &= np.bincount(level_group, minlength=graphs) > 1
         comm = np.arange(count)
     community = rank_dense_in_group(group, best)
-    q = quality(group, graphs, src, dst, w, dense(group, best)[0], options.resolution)
-    return Outcome(community, q, np.maximum(passes, 1), moves)
+    return Outcome(community, quality.of(dense(group, best)[0]), np.maximum(passes, 1), moves)
 
 
 def _compact(initial: np.ndarray) -> np.ndarray:
