@@ -1,8 +1,7 @@
 """Overlapping communities: ego nets, personas, a global pass over the persona graph.
 
-Ego nets come from triangles: edges point from the end of lower (degree, id)
-to the other, so a wedge starts at its lowest corner and hubs start few; each
-triangle is found once and given to its three egos. Ego nets without an edge
+Ego nets come from triangles (triangles.py); each is found once and given to
+its three egos. Ego nets without an edge
 are settled in SQL; the others are partitioned by ego and detected many at a
 time on arrays. Ego nets of more than ``most`` edges run one by one through
 the distributed detector, so that no task holds an unbounded net; so do all
@@ -26,6 +25,7 @@ from meshlight.errors import DirectedNotSupported, EmptyGraph
 from meshlight.runtime import cut, ensure_importable
 
 from .detect import ArrayDetector, Detector, Louvain, LouvainOptions
+from . import triangles
 from .graph import Graph
 from .partition import dense_ids
 
@@ -100,18 +100,7 @@ def ego_net_edges(graph: Graph, egos: DataFrame | None = None) -> DataFrame:
     plain = graph.merged.filter("src <> dst")
     if egos is not None:
         plain = near_edges(plain, egos)
-    degree = plain.select(F.explode(F.array("src", "dst")).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("d"))
-    a, b = degree.select(F.col("n").alias("src"), F.col("d").alias("ds")), degree.select(F.col("n").alias("dst"), F.col("d").alias("dd"))
-    ends = plain.join(a, "src").join(b, "dst")
-    low_first = F.struct("ds", "src") < F.struct("dd", "dst")
-    up = ends.select(F.when(low_first, F.col("src")).otherwise(F.col("dst")).alias("x"), F.when(low_first, F.col("dst")).otherwise(F.col("src")).alias("y"), "weight")
-    one = up.select("x", F.col("y").alias("y"), F.col("weight").alias("wxy"))
-    two = up.select("x", F.col("y").alias("z"), F.col("weight").alias("wxz"))
-    wedges = one.join(two, "x").filter("y < z")
-    closing = plain.select(F.col("src").alias("y"), F.col("dst").alias("z"), F.col("weight").alias("wyz"))
-    triangles = wedges.join(closing, ["y", "z"])
-    corner = lambda ego, u, v, w: F.struct(F.col(ego).alias("ego"), F.least(u, v).alias("src"), F.greatest(u, v).alias("dst"), F.col(w).alias("weight"))
-    nets = triangles.select(F.inline(F.array(corner("x", "y", "z", "wyz"), corner("y", "x", "z", "wxz"), corner("z", "x", "y", "wxy"))))
+    nets = triangles.nets(plain)
     return nets if egos is None else nets.join(egos.select("ego"), "ego", "left_semi")
 
 
