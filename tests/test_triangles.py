@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from meshlight.operators import triangles
+from meshlight.operators.graph import build
 
 
 def random_edges(nodes, tries, seed):
@@ -41,3 +42,12 @@ def test_packed_edges_come_back():
     src, dst, w = np.array([5, -3, 2**60, 5]), np.array([9, 2**61, 2**61, 7]), np.array([1.0, 0.25, -2.0, 3.5])
     got = list(zip(*(x.tolist() for x in triangles.unpack(triangles.pack(src, dst, w)))))
     assert got == sorted(zip(src.tolist(), dst.tolist(), w.tolist()))
+
+
+def test_a_kept_graph_is_read_from_its_tables(spark):
+    edges = spark.createDataFrame([(1, 2, 1.0), (2, 1, 2.0), (2, 3, 1.0)], "src long, dst long, weight double")
+    kept = build(edges).kept()
+    assert kept.kept() is kept and sorted(map(tuple, kept.merged.collect())) == [(1, 2, 3.0), (2, 3, 1.0)]
+    assert len(kept.adjacency.inputFiles()) > 0  # files of its own, not the rows it was made of
+    more = kept.add_edges(spark.createDataFrame([(1, 2, 4.0)], "src long, dst long, weight double"))
+    assert not more.tables and sorted(map(tuple, more.merged.collect())) == [(1, 2, 7.0), (2, 3, 1.0)]
