@@ -38,6 +38,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near copies: 5-word shingles, similarity 0.8 or more.
 
+    SimHash proposes what lies within 4 bits, MinHash bands what differs by more; whole sets decide.
+
     It is the row of least doc_id, then of least digest of its text; a row
     without an id stays only if no row of its group has one. Each row is
     decided by its own text, so texts that share an id but aren't near copies

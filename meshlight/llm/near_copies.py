@@ -5,10 +5,14 @@ set of 5-word shingles, each hashed by XXH64, stands for it; a text of fewer
 words is one shingle, and texts without a word, null included, are equal.
 Texts of equal sets collapse first, so copies cost nothing further.
 
-Candidates agree on all 5 MinHash values of at least one of 32 bands. A pair
-of similarity 0.8 meets in none with probability 3e-6, one of 0.9 with 4e-13.
-SimHash can't propose them: at 0.8 two fingerprints differ in 12 bits and
-more, and blocks short enough to agree on are shared by all documents.
+Candidates come from two searches, and whole sets decide on both. SimHash: the
+fingerprint of a set (its bits' majority, as in simhash.py) is linked with all
+within 4 bits by that operator's exact search, and sets whose fingerprints are
+so connected form a bucket. It can't propose all: at 0.8 two fingerprints differ
+in 12 bits and more, and blocks short enough to agree on are shared by all
+documents. So MinHash proposes beside it: sets that agree on all 5 values of
+at least one of 32 bands. A pair of similarity 0.8 meets in none of these with
+probability 3e-6, one of 0.9 with 4e-13.
 
 Sets are made again for texts that meet another only. A bucket compares whole
 sets and emits a spanning forest; buckets of the same members are handled
@@ -33,7 +37,7 @@ from meshlight.operators.components import connected_components
 from meshlight.operators.skew import spread_join
 
 from .common import arrow_map, cut, doc_text
-from .simhash import TO_LOWER
+from .simhash import TO_LOWER, links, majority
 
 SHINGLE, LEAST, BANDS, ROWS, MOST = 5, 0.8, 32, 5, 4096
 _RNG = np.random.default_rng(42)
@@ -69,16 +73,17 @@ def _signed(x: int) -> int:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, own, keys) per row: XXH64 of the text, of its set, and the set's band keys."""
+    """(doc_id, digest, own, fp, keys) per row: XXH64 of the text, of its set, the set's SimHash fingerprint and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t) for t in b.column(2).to_pylist()]
             own = pa.array([_signed(xxhash.xxh64_intdigest(s.tobytes(), 42)) for s in sets], pa.int64())
+            fp = pa.array([_signed(majority(s)) for s in sets], pa.int64())
             keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), own, keys], ["doc_id", "digest", "own", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), own, fp, keys], ["doc_id", "digest", "own", "fp", "keys"])
 
-    return arrow_map(docs.select("doc_id", F.xxhash64(doc_text()).alias("digest"), doc_text().alias("text")), run, "doc_id long, digest long, own long, keys array<long>")
+    return arrow_map(docs.select("doc_id", F.xxhash64(doc_text()).alias("digest"), doc_text().alias("text")), run, "doc_id long, digest long, own long, fp long, keys array<long>")
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -172,12 +177,20 @@ def _large_edges(members: DataFrame, sets: DataFrame, most: int) -> DataFrame:
     return star.unionByName(_edges(everyone.unionByName(lone).dropDuplicates(["key", "own"])))
 
 
+def simhash_buckets(found: DataFrame) -> DataFrame:
+    """(own, key): sets (own, fp) whose fingerprints are connected by links of the SimHash operator have one key."""
+    sets = found.select("own", "fp").distinct()
+    linked = connected_components(links(sets)).select(F.col("node").alias("fp"), "component")
+    met = spread_join(sets, linked, ["fp"], F.col("own"), "left")
+    return met.select("own", F.xxhash64(F.lit("simhash"), F.coalesce("component", "fp")).alias("key"))
+
+
 def near_copies(docs: DataFrame, most: int = MOST) -> DataFrame:
     """Per row: doc_id, digest (XXH64 of the text) and component, equal for rows linked by near copies."""
     found = cut(prints(docs))
     place = F.struct("doc_id", "digest")
     once = found.groupBy("own").agg(F.min(place).alias("place"), F.first("keys").alias("keys"))
-    dealt = once.select("own", F.explode("keys").alias("key"))
+    dealt = once.select("own", F.explode("keys").alias("key")).unionByName(cut(simhash_buckets(found)))
     mixed = F.xxhash64("own")
     buckets = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(mixed).alias("x"), F.sum(mixed.cast("decimal(20,0)")).alias("s")).filter("n > 1")
     chosen = buckets.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key", "n")  # one of those of the same members

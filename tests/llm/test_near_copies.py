@@ -3,7 +3,7 @@ import random
 import corpus_pipeline
 from conftest import DOCS, words
 
-from meshlight.llm import line_dedup, near_copies
+from meshlight.llm import line_dedup, near_copies, simhash
 
 
 def brute_components(texts, least=0.8):
@@ -107,3 +107,21 @@ def test_line_dedup_of_short_documents(spark):
     want = dict(held) | {2: "", 4: "", 8: "", None: ""}
     assert {r.doc_id: r.text for r in found} == want
     assert {r.doc_id: (r.n_lines, r.lines_removed) for r in found if r.lines_removed} == {2: (1, 1), 4: (2, 2), None: (1, 1)}
+
+
+def test_simhash_proposes(spark):
+    words = [f"w{k}" for k in range(300)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(f"x{k}" for k in range(300))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = near_copies.prints(docs)
+    rows = {r.doc_id: r for r in found.collect()}
+    assert [rows[k].fp & (1 << 64) - 1 for k in range(3)] == [simhash.majority(near_copies.shingles(t)) for t in texts]
+    assert 0 < (rows[0].fp ^ rows[1].fp).bit_count() <= 4 or rows[0].fp == rows[1].fp
+    key = dict(near_copies.simhash_buckets(found).select("own", "key").collect())
+    assert key[rows[0].own] == key[rows[1].own] != key[rows[2].own]
+
+
+def test_simhash_buckets_chain_and_far(spark):
+    rows = [(1, 0), (2, 0b1111), (3, 0b11111111), (4, -1), (5, 0)]
+    key = dict(near_copies.simhash_buckets(spark.createDataFrame(rows, "own long, fp long")).collect())
+    assert key[1] == key[2] == key[3] == key[5] != key[4] and len(key) == 5
