@@ -54,17 +54,24 @@ def _remove(spark: SparkSession, folder: str) -> None:
         pass
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, *by: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it again, which cuts its lineage.
 
     Unlike a checkpointed plan, which carries the estimated size of the plan
     before on (a product over all joins of a loop), a table has its real size.
+    ``by``: last columns that name the table's folders, so that one can be read alone.
     """
     path = f"{session_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(table: DataFrame) -> None:
+    """Deletes a table that cut() wrote and that nothing reads any more."""
+    for file in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        _remove(table.sparkSession, file)
+
+
 def ensure_importable(spark: SparkSession) -> None:
     """Let Python workers started later import this package from the repository."""
     env = spark.sparkContext.environment

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from fixtures_graphs import KARATE_CLUBS, KARATE_EDGES, TRIANGLES, planted
@@ -256,3 +258,17 @@ def test_user_detector(spark):
 
 def test_truth_of_karate(spark):
     assert one(metrics.modularity(graph(spark, KARATE_EDGES), part(spark, KARATE_CLUBS))) == pytest.approx(0.371, abs=0.001)
+
+
+def test_edges_in_tasks_are_the_same_as_on_the_driver(spark):
+    """Several levels, ties, weights, self-loops and ids with gaps; the join loop for one level."""
+    rng = np.random.default_rng(7)
+    src, dst = random_edges(60, 150, 7)
+    edges = [(int(a) * 7, int(b) * 7, float(w)) for a, b, w in zip(src, dst, rng.choice([1.0, 2.0, 0.5], len(src)))] + [(35, 35, 3.0)]
+    g = graph(spark, edges, nodes=[*range(0, 420, 7), 1000])
+    prior = part(spark, [(n * 7, n % 9) for n in range(50)])
+    tasks, joins = {"local_threshold": 0}, {"local_threshold": 0, "local_nodes": 0}
+    textbook = LO(seed=6, buckets=2, self_loops="textbook", gain="textbook", resolution=0.5)
+    for kind, options, way in ((L, LO(seed=4, buckets=3), tasks), (E, EO(seed=5, buckets=2), tasks), (L, textbook, tasks), (L, LO(seed=8, buckets=2, initial_partition=prior), tasks), (E, EO(seed=9, buckets=2, max_iterations=1), joins)):
+        far, near = kind(replace(options, **way)).detect(g), kind(options).detect(g)
+        assert sorted(far.partition.collect()) == sorted(near.partition.collect()) and far.modularity == pytest.approx(near.modularity) and (far.passes, far.moves) == (near.passes, near.moves)
