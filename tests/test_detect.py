@@ -2,6 +2,7 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from fixtures_graphs import KARATE_CLUBS, KARATE_EDGES, TRIANGLES, planted
 from test_graph import graph, one, part
 
@@ -272,3 +273,17 @@ def test_edges_in_tasks_are_the_same_as_on_the_driver(spark):
     for kind, options, way in ((L, LO(seed=4, buckets=3), tasks), (E, EO(seed=5, buckets=2), tasks), (L, textbook, tasks), (L, LO(seed=8, buckets=2, initial_partition=prior), tasks), (E, EO(seed=9, buckets=2, max_iterations=1), joins)):
         far, near = kind(replace(options, **way)).detect(g), kind(options).detect(g)
         assert sorted(far.partition.collect()) == sorted(near.partition.collect()) and far.modularity == pytest.approx(near.modularity) and (far.passes, far.moves) == (near.passes, near.moves)
+
+
+def test_packed_ego_nets_are_the_same_as_joined_ones(spark, monkeypatch):
+    """Weights, a self-loop, nets without an edge, a lone node and nets above ``most``, in several groups."""
+    rng = np.random.default_rng(11)
+    src, dst = random_edges(40, 160, 11)
+    edges = [(int(a), int(b), float(w)) for a, b, w in zip(src, dst, rng.choice([1.0, 2.5, 300.0], len(src)))] + [(5, 5, 3.0), (90, 91, 1.0)]
+    g = graph(spark, edges, nodes=[*range(40), 95]).kept()
+    joined = ego.ego_partition(g, SPLIT.local)
+    people = ego.personas(g.vertices.select(F.col("id").alias("node")), joined)
+    monkeypatch.setattr(ego.egonets, "GROUP", 40)
+    for most in (10**6, 20):
+        found = ego.split(g, replace(SPLIT, most=most))
+        assert all(sorted(a.collect()) == sorted(b.collect()) for a, b in zip(found, (people, joined, ego.persona_edges(g, people, joined))))
