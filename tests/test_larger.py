@@ -1,9 +1,13 @@
+from collections import Counter
+
 import numpy as np
 from test_graph import part
 
 from meshlight.operators import ego, sweeps
+from meshlight.operators.graph import build
 from meshlight.operators.partition import dense_ids, warm_start
 from meshlight.runtime import cut
+from meshlight.sources.builders import part_graph
 
 
 def test_start_on_driver_is_warm_start(spark):
@@ -35,3 +39,35 @@ def test_wide_nets_are_found_without_counting_all(spark):
     degree = np.bincount(np.array(list(pairs)).ravel())
     for most in (3, 100, 250, 2000, 10**6):
         assert sorted(r[0] for r in ego.wide_egos(plain, most).collect()) == np.flatnonzero(degree * (degree - 1) / 2 > most).tolist()
+
+
+def test_few_added_edges_are_summed_alone(spark):
+    old = {(a, b): 1.0 + a for a in range(30) for b in range(a, 30, 7)}
+    g = build(spark.createDataFrame([(a, b, w) for (a, b), w in old.items()], "src long, dst long, weight double")).kept()
+    new = [(0, 7, 2.0), (7, 0, 1.0), (3, 3, 5.0), (1, 2, 1.0), (2, 10**9, 4.0)]  # an old pair twice, a loop, a new pair, a new node
+    after = g.add_edges(spark.createDataFrame(new, "src long, dst long, weight double"))
+    want = Counter(old)
+    for a, b, w in new:
+        want[min(a, b), max(a, b)] += w
+    assert {(r.src, r.dst): r.weight for r in after.merged.collect()} == want and after.merged.count() == len(want)
+    assert sorted(after.vertices.collect()) == [(n, 1.0) for n in [*range(30), 10**9]]
+    assert after.edges.count() == len(old) + len(new)
+    assert "SortMergeJoin" not in (plan := after.merged._jdf.queryExecution().toString()) and "Anti" in plan  # the old edges are not shuffled
+    again = after.kept().add_edges(spark.createDataFrame([(1, 2, 3.0)], "src long, dst long, weight double"))
+    assert again.merged.filter("src = 1 and dst = 2").first().weight == 4.0
+
+
+def test_memberships_are_made_when_asked_for(spark):
+    result = ego.EgoSplitting().detect(build(spark.createDataFrame([(0, 1), (1, 2), (0, 2), (2, 3)], "src long, dst long")))
+    assert "memberships" not in vars(result)
+    assert {r.node for r in result.memberships.collect()} == {0, 1, 2, 3} and "memberships" in vars(result)
+
+
+def test_known_items_need_no_list_of_groups(spark, tmp_path):
+    for name, ids, found in (("dense", range(4), False), ("gaps", (0, 1, 2, 9), False), ("fewer", range(3), True), ("gap", (0, 1, 3), True)):
+        spark.createDataFrame([(n,) for n in [*ids, None]], "p_partkey long").write.parquet(f"{tmp_path}/{name}/part.parquet")
+        rows = [(1, 0), (1, 2 if name != "gap" else 3), (2, 1), (2, 1)] + [(3, 0), (3, 7), (4, 8)] * found  # 7 meets another one, 8 does not
+        spark.createDataFrame([*rows, (5, None)], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+        vertices = part_graph(spark, f"{tmp_path}/{name}").vertices
+        assert sorted(r.id for r in vertices.collect()) == sorted([*ids, *[7] * found])
+        assert ("collect_set" in vertices._jdf.queryExecution().toString()) == found
