@@ -24,7 +24,7 @@ from meshlight.runtime import cut, drop, ensure_importable, lean
 
 from .kernel import MoveOptions, bucket_of, dense
 
-NODES, PART, BATCH = 32_000_000, 500_000, 400_000
+NODES, PART, BATCH, AT_ONCE = 32_000_000, 1_000_000, 400_000, 2_000_000
 Ends = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # nodes, how many ends each has, the other ends in order, weights
 
 
@@ -46,35 +46,51 @@ class Found:
     moves: int
 
 
-def pack(nodes: np.ndarray, count: np.ndarray, dst: np.ndarray, w: np.ndarray) -> bytes:
-    """Other ends by their lowest bytes, then the next; weights as bytes if all are whole and small."""
-    small = w.astype(np.uint8) if w.min(initial=0) >= 0 and w.max(initial=0) < 256 else w
-    w = small if (small == w).all() else w.astype("<f8")
-    low = np.ascontiguousarray(dst.astype("<i4").view(np.uint8).reshape(-1, 4).T)
-    return np.array([len(nodes), len(dst), w.itemsize], "<i8").tobytes() + w.tobytes() + nodes.astype("<i4").tobytes() + count.astype("<i4").tobytes() + low.tobytes()
-
-
 def unpack(raw) -> Ends:
     nodes, ends, size = np.frombuffer(raw, "<i8", 3).tolist()
     at = 24 + size * ends
     w = np.frombuffer(raw, "u1" if size == 1 else "<f8", ends, 24).astype(float)
-    dst = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * ends, at + 8 * nodes).reshape(4, -1).T).view("<i4").reshape(-1)
+    low = np.frombuffer(raw, np.uint8, 4 * ends, at + 8 * nodes).reshape(4, -1)
+    dst = low[0].astype(np.int32)
+    for k in (1, 2, 3):
+        if k < 3 or low[k].any():
+            dst |= low[k].astype(np.int32) << 8 * k
     return np.frombuffer(raw, "<i4", nodes, at).astype(np.int64), np.frombuffer(raw, "<i4", nodes, at + 4 * nodes), dst, w
 
 
+def merged(key: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order and the sums of their weights.
+
+    Whole weights ride along in the low digits where they fit, as sorting
+    numbers is faster than sorting places.
+    """
+    if not len(key):
+        return key, w
+    top = float(w.max())
+    bits = int(top).bit_length() if 0 <= float(w.min()) and top < 1 << 31 else 63
+    if int(key.max()).bit_length() + bits < 63 and ((whole := w.astype(np.int64)) == w).all():
+        both = np.sort(key << bits | whole)
+        key, w = both >> bits, (both & ((1 << bits) - 1)).astype(float)
+    else:
+        order = np.argsort(key, kind="stable")
+        key, w = key[order], w[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    if new.all():
+        return key, w
+    first = np.flatnonzero(new)
+    return key[first], np.add.reduceat(w, first)
+
+
 def summed(key: np.ndarray, s: np.ndarray, d: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
     """Ends in the order of (key, s, d), equal ones summed; s decides the key."""
     bits = max(1, n.bit_length())
     if int(key.max(initial=0)).bit_length() + 2 * bits < 63:
-        both = (key << bits | s) << bits | d
-        order = np.argsort(both, kind="stable")
-        both = both[order]
-        new = np.concatenate([[True], both[1:] != both[:-1]])
-    else:
-        order = np.lexsort((d, s, key))
-        x, y = s[order], d[order]
-        new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+        both, w = merged((key << bits | s) << bits | d, w)
+        there = (1 << bits) - 1
+        return both >> 2 * bits, both >> bits & there, both & there, w
+    order = np.lexsort((d, s, key))
     key, s, d, w = key[order], s[order], d[order], w[order]
+    new = np.concatenate([[True], (s[1:] != s[:-1]) | (d[1:] != d[:-1])])
     if new.all():
         return key, s, d, w
     first = np.flatnonzero(new)
@@ -82,18 +98,31 @@ def summed(key: np.ndarray, s: np.ndarray, d: np.ndarray, w: np.ndarray, n: int)
 
 
 def packed(key: np.ndarray, s: np.ndarray, d: np.ndarray, w: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """(key, ends, data) of ends in order."""
+    """(key, ends, data) of ends in order: other ends by their lowest bytes, then the next; a key's weights as bytes if all are whole and small."""
+    if not len(key):
+        return
     cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        x = s[a:b]
-        first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-        yield int(key[a]), b - a, pack(x[first], np.diff(np.append(first, b - a)), d[a:b], w[a:b])
+    first = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (key[1:] != key[:-1])]))
+    nodes, count = s[first].astype("<i4"), np.diff(np.append(first, len(s))).astype("<i4")
+    of = np.searchsorted(first, cuts)
+    low = np.ascontiguousarray(d.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+    small = np.where((w >= 0) & (w < 256), w, 0.5).astype(np.uint8)
+    bytewise = np.logical_and.reduceat(small == w, cuts[:-1])
+    w = w.astype("<f8", copy=False)
+    for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+        x, y = of[k], of[k + 1]
+        own = small if bytewise[k] else w
+        yield int(key[a]), b - a, np.array([y - x, b - a, own.itemsize], "<i8").tobytes() + own[a:b].tobytes() + nodes[x:y].tobytes() + count[x:y].tobytes() + low[:, a:b].tobytes()
 
 
 def dealt(s: np.ndarray, d: np.ndarray, w: np.ndarray, of: Callable[[np.ndarray], np.ndarray], n: int, parts: int, options: MoveOptions) -> Iterator[tuple[int, int, bytes]]:
     """Edges (s, d) from both ends, a self-loop once, by bucket and part of the end's node."""
     turn = s != d
-    s, d, w = np.concatenate([s, d[turn]]), np.concatenate([d, s[turn]]), np.concatenate([w, w[turn]])
+    yield from dealt_ends(np.concatenate([s, d[turn]]), np.concatenate([d, s[turn]]), np.concatenate([w, w[turn]]), of, n, parts, options)
+
+
+def dealt_ends(s: np.ndarray, d: np.ndarray, w: np.ndarray, of: Callable[[np.ndarray], np.ndarray], n: int, parts: int, options: MoveOptions) -> Iterator[tuple[int, int, bytes]]:
+    """Ends of edges by bucket and part of their node."""
     key = bucket_of(of(s), options.seed, options.buckets) * parts + s % parts
     yield from packed(*summed(key, s, d, w, n))
 
@@ -139,9 +168,11 @@ def joined(some: list[Ends]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([np.repeat(x[0], x[1]) for x in some]), np.concatenate([x[2].astype(np.int64) for x in some]), np.concatenate([x[3] for x in some])
 
 
-def _row(rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-    for key, _, data in rows:
-        yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([data], pa.binary())], ["key", "data"])
+def _rows(rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """In one batch: there are many rows of few ends."""
+    keys, _, data = zip(*found) if (found := list(rows)) else ((), (), ())
+    if keys:
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(data, pa.binary())], ["key", "data"])
 
 
 @dataclass(frozen=True)
@@ -209,7 +240,7 @@ def first_level(edges: DataFrame, rows: int, names: Names, options: MoveOptions,
 
     def done(names: Names, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         src, dst, w = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(3))
-        yield from _row(dealt(names.places(src), names.places(dst), w, names.of, n, parts, options))
+        yield from _rows(dealt(names.places(src), names.places(dst), w, names.of, n, parts, options))
 
     level = _built(edges.select("src", "dst", "weight").mapInArrow(lean(run), "key long, data binary"), n, parts, local)
     known.destroy()
@@ -247,11 +278,7 @@ def movers(nodes, count, dst, w, comm, total, setting):
     n, (factor, resolution) = len(comm), setting
     k = np.add.reduceat(w, np.cumsum(count) - count)
     place = np.concatenate([np.repeat(np.arange(len(nodes)), count), np.arange(len(nodes))])
-    key = place * n + np.concatenate([comm[dst], comm[nodes]])
-    order = np.argsort(key, kind="stable")
-    key, weight = key[order], np.concatenate([w, np.zeros(len(nodes))])[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    kin, key = np.add.reduceat(weight, first), key[first]
+    key, kin = merged(place * n + np.concatenate([comm[dst], comm[nodes]]), np.concatenate([w, np.zeros(len(nodes))]))
     place, to = key // n, key % n
     stay = to == comm[nodes][place]
     score = factor * kin - resolution * (total[to].astype(float) - np.where(stay, k[place], 0.0)) * k[place]
@@ -269,8 +296,13 @@ def inside(nodes, count, dst, w, comm, loops):
     return (np.array([w[(comm[dst] == comm[s]) & (loops[0] | (dst != s))].sum()]),)
 
 
-def least(nodes, count, dst, w, comm, label):
-    """(node, label): the least label among neighbours of the same community, where it is less than the node's."""
+def least(nodes, count, dst, w, comm, label, left):
+    """(node, label): the least label among neighbours of the same community, where it is less than the node's; of nodes that are left."""
+    mine = left[nodes]
+    if not mine.all():
+        nodes, count, dst = nodes[mine], count[mine], dst[np.repeat(mine, count)]
+    if not len(nodes):
+        return nodes, nodes
     low = np.minimum.reduceat(np.where(comm[dst] == np.repeat(comm[nodes], count), label[dst], len(comm)), np.cumsum(count) - count)
     less = low < label[nodes]
     return nodes[less], low[less]
@@ -294,8 +326,10 @@ def sweep(level: Level, comm: np.ndarray, total: np.ndarray, m: float, options:
 def connected(level: Level, comm: np.ndarray) -> np.ndarray:
     """Communities cut into connected parts, numbered by (community, least node): labels sink along edges and through the nodes they name."""
     label = np.arange(level.n, dtype=np.int32)
+    own = label.copy()
     while True:
-        node, low = each(level, least, {"node": "int32", "low": "int32"}, comm, label)
+        left = (np.bincount(comm[label == own], minlength=level.n) > 1)[comm]  # whole communities of one label are done
+        node, low = each(level, least, {"node": "int32", "low": "int32"}, comm, label, left) if left.any() else (own[:0], own[:0])
         if not len(node):
             return dense(comm, label)[0].astype(np.int32)
         np.minimum.at(label, label[node], low)
@@ -310,11 +344,11 @@ def contracted(level: Level, comm: np.ndarray, count: int, options: MoveOptions,
 
     def new(some: list[Ends], comm: np.ndarray, parts: int) -> Iterator[tuple[int, int, bytes]]:
         s, d, w = joined(some)
-        once = s <= d
-        s, d, w = s[once], d[once], w[once]
-        w = np.where(s == d, half * w, w)
         a, b = comm[s].astype(np.int64), comm[d].astype(np.int64)
-        yield from dealt(np.minimum(a, b), np.maximum(a, b), w, lambda places: places, count, parts, options)
+        once = (a != b) | (s <= d)  # an edge between two communities has an end of each already
+        if half != 1:
+            w = np.where(s == d, half * w, w)
+        yield from dealt_ends(a[once], b[once], w[once], lambda places: places, count, parts, options)
 
     if level.table is None:
         rows = list(new([unpack(x) for _, x in level.rows], comm, 1)) if level.rows else []
@@ -330,10 +364,10 @@ def contracted(level: Level, comm: np.ndarray, count: int, options: MoveOptions,
                 held.append(unpack(data.as_buffer()))
                 size += len(held[-1][2])
                 if size >= 2 * BATCH:
-                    yield from _row(new(held, shared.value[0], parts))
+                    yield from _rows(new(held, shared.value[0], parts))
                     held, size = [], 0
         if held:
-            yield from _row(new(held, shared.value[0], parts))
+            yield from _rows(new(held, shared.value[0], parts))
 
     built = _built(level.table.select("data").mapInArrow(lean(run), "key long, data binary"), count, parts, local)
     shared.destroy()
@@ -349,7 +383,7 @@ def detect(edges: DataFrame, rows: int, names: Names, options: MoveOptions, star
         n = level.n
         comm = np.arange(n, dtype=np.int32) if start is None or passes else start.astype(np.int32, copy=False)
         total, ends = np.zeros(n), 0.0
-        for r in range(options.buckets):  # some nodes at once
+        for r in range(options.buckets) if n > AT_ONCE else [None]:  # some nodes at once
             node, own, loop = each(level, strengths, {"node": "int32", "k": "float64", "loop": "float64"}, bucket=r)
             total[node] = own
             ends += float(own.sum()) + float(loop.sum())

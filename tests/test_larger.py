@@ -5,6 +5,7 @@ from test_graph import part
 
 from meshlight.operators import ego, sweeps
 from meshlight.operators.graph import build
+from meshlight.operators.kernel import MoveOptions
 from meshlight.operators.partition import dense_ids, warm_start
 from meshlight.runtime import cut
 from meshlight.sources.builders import part_graph
@@ -71,3 +72,30 @@ def test_known_items_need_no_list_of_groups(spark, tmp_path):
         vertices = part_graph(spark, f"{tmp_path}/{name}").vertices
         assert sorted(r.id for r in vertices.collect()) == sorted([*ids, *[7] * found])
         assert ("collect_set" in vertices._jdf.queryExecution().toString()) == found
+
+
+def test_ends_are_summed_in_order_and_sent_at_once():
+    rng = np.random.default_rng(5)
+    for scale, n in ((1, 50), (0.5, 50), (300, 50), (1, 1 << 30)):  # whole, halves, above a byte, too far apart for one number
+        s, d = rng.integers(n - 50, n, 4000), rng.integers(n - 50, n, 4000)
+        w, key = rng.integers(0, 4, 4000) * scale, s % 7
+        want = Counter()
+        for k, a, b, x in zip(key.tolist(), s.tolist(), d.tolist(), w.tolist()):
+            want[k, a, b] += x
+        (batch,) = sweeps._rows(sweeps.packed(*sweeps.summed(key, s, d, w, n)))
+        got = {}
+        for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            nodes, count, dst, x = sweeps.unpack(data)
+            got |= {(k, a, b): y for a, b, y in zip(np.repeat(nodes, count).tolist(), dst.tolist(), x.tolist())}
+        assert got == want and list(got) == sorted(want)
+    assert not list(sweeps._rows(sweeps.packed(*sweeps.summed(s[:0], s[:0], s[:0], w[:0], 5))))
+
+
+def test_whole_communities_are_not_read_again(monkeypatch):
+    src, dst = np.array([0, 1, 0, 3, 4, 3, 6]), np.array([1, 2, 2, 4, 5, 5, 7])
+    rows = [(0, data) for _, _, data in sweeps.dealt(src, dst, np.ones(7), lambda n: n, 9, 1, MoveOptions(buckets=1))]
+    calls, each = [], sweeps.each
+    monkeypatch.setattr(sweeps, "each", lambda *a, **k: calls.append(a) or each(*a, **k))
+    level = sweeps.Level(None, 9, None, rows)
+    assert sweeps.connected(level, np.array([0, 0, 0, 3, 3, 3, 6, 6, 8])).tolist() == [0, 0, 0, 1, 1, 1, 2, 2, 3] and len(calls) == 1
+    assert sweeps.connected(level, np.array([0, 0, 0, 0, 0, 0, 6, 6, 6])).tolist() == [0, 0, 0, 1, 1, 1, 2, 2, 3]
