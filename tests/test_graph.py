@@ -1,7 +1,12 @@
+from collections import Counter
+from itertools import combinations
+
+import numpy as np
 import pytest
 from fixtures_graphs import KARATE_CLUBS, KARATE_EDGES, TRIANGLES
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from meshlight.errors import InvalidInput
 from meshlight.functions import metrics
@@ -9,6 +14,7 @@ from meshlight.operators import partition
 from meshlight.operators.components import connected_components
 from meshlight.operators.graph import build, empty
 from meshlight.operators.registry import NodeRegistry
+from meshlight.sources import builders
 
 
 def graph(spark, edges, nodes=()):
@@ -147,3 +153,19 @@ def test_components_of_many_edges(spark):
 def test_empty_graph(spark):
     g = empty(spark)
     assert one(g.node_count()) == 0 and one(g.edge_count()) == 0 and one(g.total_weight()) == 0.0 and g.strength().count() == 0
+
+
+def test_pairs_of_groups_in_parts(spark, monkeypatch):
+    """Repeated items, nulls and groups that go on in the next batch; pairs by many ranges, for numbers and names of groups alike."""
+    rng = np.random.default_rng(3)
+    rows = [(int(g), int(i)) for g, i in zip(rng.integers(0, 300, 4000), rng.integers(-40, 40, 4000))] + [(None, 1), (2, None)]
+    want = Counter((a, b) for g in range(300) for a, b in combinations(sorted({i for h, i in rows if h == g and i is not None}), 2))
+    monkeypatch.setattr(builders, "PAIRED", 150)
+    lines = spark.createDataFrame(rows, "g long, i int")
+    for least in (1, 3):
+        for of in (lines, lines.withColumn("g", F.col("g").cast("string"))):
+            got = builders.co_occurrence(of, "g", "i", least)
+            assert got.columns == ["src", "dst", "weight"]
+            assert sorted((r[0], r[1], r[2]) for r in got.collect()) == sorted((a, b, float(n)) for (a, b), n in want.items() if n >= least)
+    assert builders.co_occurrence(lines.filter("false"), "g", "i").isEmpty()
+    assert "MapInArrow" in builders.co_occurrence(lines, "g", "i")._jdf.queryExecution().toString()

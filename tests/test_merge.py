@@ -3,6 +3,7 @@ import random
 import pytest
 from test_graph import graph, part
 
+from meshlight.functions import metrics
 from meshlight.operators import detect, ego, merge
 
 
@@ -82,3 +83,15 @@ def test_overlapping_walk_and_rounds(spark, seed):
         found = merge.merge_overlapping(graph(spark, edges, range(n)), ego.OverlappingResult(part(spark, members)), options, local_rows)
         assert sorted(tuple(r) for r in found.memberships.collect()) == want
     assert len({c for _, c in want}) < len({c for _, c in members})
+
+
+def test_merge_asks_for_modularity_only_if_read(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(merge, "modularity", lambda g, p: asked.append(1) or metrics.modularity(g, p))
+    g = graph(spark, [(0, 1), (1, 2), (0, 2), (2, 3), (3, 4), (4, 5), (3, 5), (5, 6)])
+    found = detect.CommunityResult(part(spark, [(0, 0), (1, 0), (2, 0), (3, 1), (4, 1), (5, 1), (6, 2)]), 0.0, 1, 0)
+    for least in (0, 2):
+        asked.clear()
+        got = merge.merge_communities(g, found, merge.MergeOptions(min_size=least))
+        assert got.partition.count() == 7 and not asked
+        assert got.modularity == got.modularity == metrics.modularity(g, got.partition).first()[0] and asked == [1]
