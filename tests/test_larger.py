@@ -1,9 +1,11 @@
 from collections import Counter
 
 import numpy as np
-from test_graph import part
+from pyspark.sql import functions as F
+from test_graph import graph, part
 
 from meshlight.operators import ego, sweeps
+from meshlight.operators.detect import Louvain, LouvainOptions
 from meshlight.operators.graph import build
 from meshlight.operators.kernel import MoveOptions
 from meshlight.operators.partition import dense_ids, warm_start
@@ -99,3 +101,14 @@ def test_whole_communities_are_not_read_again(monkeypatch):
     level = sweeps.Level(None, 9, None, rows)
     assert sweeps.connected(level, np.array([0, 0, 0, 3, 3, 3, 6, 6, 8])).tolist() == [0, 0, 0, 1, 1, 1, 2, 2, 3] and len(calls) == 1
     assert sweeps.connected(level, np.array([0, 0, 0, 0, 0, 0, 6, 6, 6])).tolist() == [0, 0, 0, 1, 1, 1, 2, 2, 3]
+
+
+def test_personas_are_numbered_where_rows_lie(spark, monkeypatch):
+    """Without a shuffle of all personas, and as personas() numbers them; lone nodes and wide nets too."""
+    g = graph(spark, [(0, 1), (1, 2), (0, 2), (2, 3), (3, 4), (2, 4), (4, 5), (5, 5), (6, 7)], [0, 9, 40]).kept()
+    wanted = ego.personas
+    monkeypatch.setattr(ego, "personas", None)
+    for most in (ego.EGO_EDGES, 1):
+        people, egos, _ = ego.split(g, ego.EgoSplittingOptions(Louvain(LouvainOptions(seed=1)), most=most))
+        want = wanted(g.vertices.select(F.col("id").alias("node")), egos).select("node", "local_comm", "persona_id")
+        assert sorted(map(tuple, people.collect())) == sorted(map(tuple, want.collect()))
